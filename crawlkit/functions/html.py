@@ -13,31 +13,40 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlkit.functions.bind import let
+
 # HTML tokens.
 _REST = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>"""
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
-_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\z))"
+_COMMENT = r"!--(?:-?>|.*?(?:--!?>|\z))"
 _RAW_TEXT = (
-    r"<(script|style|textarea|iframe|noembed|noframes|xmp{extra})(?=[\s/>])"
+    r"(script|style|textarea|iframe|noembed|noframes|xmp{extra})(?=[\s/>])"
     + _REST
     + r".*?(?:</\1(?=[\s/>])|\z)"
 )
-_OTHER_TAG = r"<[a-z/!?]" + _REST
+_OTHER_TAG = r"[a-z/!?]" + _REST
 _ATTRIBUTE_BEFORE_HREF = (
     r"(?:[\s/]*+(?!href[\s=/>])[^\s=/>]++(?:\s*+=\s*+" + _VALUE + r")?+)*+"
 )
 _LINK = (
-    r"<a(?=[\s/])" + _ATTRIBUTE_BEFORE_HREF + r"[\s/]*+href\s*+=\s*+(" + _VALUE + r")" + _REST
+    r"a(?=[\s/])" + _ATTRIBUTE_BEFORE_HREF + r"[\s/]*+href\s*+=\s*+(" + _VALUE + r")" + _REST
 )
-_TITLE = r"<title(?=[\s/>])" + _REST + r"(.*?)(?:</title(?=[\s/>])|\z)"
+_TITLE = r"title(?=[\s/>])" + _REST + r"(.*?)(?:</title(?=[\s/>])|\z)"
+
+
+
+def _tokens(*alternatives: str) -> str:
+    return "(?is)<(?:" + "|".join(alternatives) + ")"
 
-HREF_TOKENS = "(?is)" + "|".join([_COMMENT, _RAW_TEXT.format(extra="|title"), _LINK, _OTHER_TAG])
-TITLE_TOKENS = "(?is)" + "|".join([_COMMENT, _RAW_TEXT.format(extra=""), _TITLE, _OTHER_TAG])
+
+HREF_TOKENS = _tokens(_COMMENT, _RAW_TEXT.format(extra="|title"), _LINK, _OTHER_TAG)
+TITLE_TOKENS = _tokens(_COMMENT, _RAW_TEXT.format(extra=""), _TITLE, _OTHER_TAG)
 CHARACTER_REFERENCE = (
     r"&#[xX][0-9a-fA-F]++;?|&#[0-9]++;?|&[A-Za-z][A-Za-z0-9]*+[;=]?|[^&]++|&"
 )
 _SPACE = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 OUTER_SPACE = f"^{_SPACE}|{_SPACE}$"
+QUOTED = r"""(?s)^"(.*)"$|^'(.*)'$"""
 NO_TITLE = "Untitled Document"
 
 
@@ -71,20 +80,21 @@ def _decode_token(token: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Decode character references. Text without ``&`` is passed through untouched."""
-    tokens = F.regexp_extract_all(text, F.lit(CHARACTER_REFERENCE), F.lit(0))
-    return F.when(
-        text.contains("&"), F.array_join(F.transform(tokens, _decode_token), "")
-    ).otherwise(text)
+
+    def decode(t):
+        tokens = F.regexp_extract_all(t, F.lit(CHARACTER_REFERENCE), F.lit(0))
+        return F.when(
+            t.contains("&"), F.array_join(F.transform(tokens, _decode_token), "")
+        ).otherwise(t)
+
+    return let(text, decode)
 
 
 def extract_hrefs(html: Column) -> Column:
     """Non-empty ``a[href]`` values in document order, duplicates kept, entities decoded."""
     raw = F.regexp_extract_all(html, F.lit(HREF_TOKENS), F.lit(2))
     unquoted = F.transform(
-        F.filter(raw, lambda v: v != ""),
-        lambda v: unescape(
-            F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-        ),
+        F.filter(raw, lambda v: v != ""), lambda v: unescape(F.regexp_replace(v, QUOTED, "$1$2"))
     )
     return F.filter(unquoted, lambda v: v != "")
 
@@ -93,4 +103,4 @@ def page_title(html: Column) -> Column:
     """Text of all title elements, trimmed; ``Untitled Document`` if nothing is left."""
     titles = F.regexp_extract_all(html, F.lit(TITLE_TOKENS), F.lit(2))
     text = F.regexp_replace(unescape(F.array_join(titles, "")), OUTER_SPACE, "")
-    return F.when(text == "", F.lit(NO_TITLE)).otherwise(F.coalesce(text, F.lit(NO_TITLE)))
+    return F.coalesce(F.regexp_replace(text, "^$", NO_TITLE), F.lit(NO_TITLE))

@@ -28,17 +28,22 @@ SERVER_ERROR = ("Http5xxError", "Server error (%d) while fetching %s")
 OTHER_ERROR = ("AppError", 500)
 
 
+def _doubled(base_ms: int, times: Column) -> Column:
+    """``base * 2^times`` for small ``times``; exact in a double, hence in the result."""
+    return (base_ms * F.pow(F.lit(2.0), times)).cast("bigint")
+
+
 def ingest_backoff_ms(attempt: Column) -> Column:
     """Wait after a failed ingest attempt (from 1); NULL when no attempt is left."""
-    wait = F.shiftleft(F.lit(INGEST_BASE_MS).cast("bigint"), F.least(attempt, F.lit(62)).cast("int") - 1)
-    return F.when(attempt.between(1, INGEST_ATTEMPTS - 1), wait)
+    return F.when(
+        attempt.between(1, INGEST_ATTEMPTS - 1), _doubled(INGEST_BASE_MS, attempt - 1)
+    )
 
 
 def fetch_backoff_ms(error_name: Column, attempt: Column) -> Column:
     """Wait after a failed fetch attempt; NULL when no attempt is left."""
-    doubled = F.shiftleft(F.lit(FETCH_BASE_MS).cast("bigint"), F.least(attempt, F.lit(30)).cast("int"))
     wait = F.when(error_name == DOMAIN_LIMIT, F.lit(FETCH_BASE_MS).cast("bigint")).otherwise(
-        F.least(doubled, F.lit(FETCH_CAP_MS))
+        F.least(_doubled(FETCH_BASE_MS, attempt), F.lit(FETCH_CAP_MS).cast("bigint"))
     )
     return F.when(attempt.between(1, FETCH_ATTEMPTS - 1), wait)
 

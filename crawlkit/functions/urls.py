@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlkit.functions.bind import let
+
 # URL grammar.
 EDGE_OR_BREAK = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -31,6 +33,11 @@ DOT_SEGMENT = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"
 PATH_SAFE = r"\x21\x24-\x3b\x3d\x40-\x5d\x5f\x61-\x7a\x7c\x7e"
 QUERY_SAFE = r"\x21\x24-\x26\x28-\x3b\x3d\x3f-\x7e"
 FRAGMENT_SAFE = r"\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7e"
+# An absolute path without dot segments, query or anything to encode.
+PLAIN_PATH = (
+    r"^/(?![/\\])(?!(?:.*/)?(?:\.|%2[eE]){1,2}(?:/|$))"
+    r"[\x21\x24-\x3b\x3d\x40-\x5b\x5d\x5f\x61-\x7a\x7c\x7e]*+$"
+)
 DEFAULT_PORT = {"http": 80, "https": 443}
 MAX_PORT = 65535
 
@@ -46,11 +53,15 @@ def _blank_to_null(col: Column) -> Column:
 
 def authority_host(authority: Column) -> Column:
     """Lower-case host of ``user@host:port``; NULL if the authority does not parse."""
-    host = F.lower(_blank_to_null(F.regexp_extract(authority, HOST_IN_AUTHORITY, 1)))
-    port = F.regexp_extract(authority, PORT_IN_AUTHORITY, 1)
-    port_ok = (port == "") | (F.try_to_number(_blank_to_null(port), F.lit("999999999")) <= MAX_PORT)
-    ip_ok = ~host.rlike(NUMERIC_HOST) | host.rlike(DOTTED_QUAD)
-    return F.when(port_ok & ip_ok, host)
+
+    def check(part):
+        address = ~part["host"].rlike(NUMERIC_HOST) | part["host"].rlike(DOTTED_QUAD)
+        port = part["port"].isNull() | (part["port"].try_cast("bigint") <= MAX_PORT)
+        return F.when(address & port, part["host"])
+
+    port = _blank_to_null(F.regexp_extract(authority, PORT_IN_AUTHORITY, 1))
+    host = _blank_to_null(F.lower(F.regexp_extract(authority, HOST_IN_AUTHORITY, 1)))
+    return let(F.struct(host.alias("host"), port.alias("port")), check)
 
 
 def url_host(url: Column) -> Column:
@@ -78,164 +89,181 @@ def http_only(resolved: Column) -> Column:
 
 def percent_encode(part: Column, safe: str) -> Column:
     """Percent-encode (UTF-8) everything outside ``safe``; existing escapes are kept."""
-    runs = F.regexp_extract_all(part, F.lit(f"[{safe}]+|[^{safe}]+"), F.lit(0))
-    encoded = F.transform(
-        runs,
-        lambda run: F.when(
-            run.rlike(f"^[^{safe}]"), F.replace(F.url_encode(run), F.lit("+"), F.lit("%20"))
-        ).otherwise(run),
-    )
-    return F.when(part.rlike(f"[^{safe}]"), F.array_join(encoded, "")).otherwise(part)
+
+    def encode_run(run):
+        encoded = F.replace(F.url_encode(run), F.lit("+"), F.lit("%20"))
+        return F.when(run.rlike(f"^[^{safe}]"), encoded).otherwise(run)
+
+    def encode(text):
+        runs = F.regexp_extract_all(text, F.lit(f"[{safe}]+|[^{safe}]+"), F.lit(0))
+        return F.when(
+            text.rlike(f"[^{safe}]"), F.array_join(F.transform(runs, encode_run), "")
+        ).otherwise(text)
+
+    return let(part, encode)
 
 
 def remove_dot_segments(path: Column) -> Column:
     """Apply ``.`` and ``..`` in an absolute path; a final dot segment leaves a slash."""
-    segments = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
-    dot = lambda s: F.replace(F.lower(s), F.lit("%2e"), F.lit("."))
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            dot(s) == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    nothing = F.array().cast("array<string>")
+
+    def dots(segment):
+        return F.replace(F.lower(segment), F.lit("%2e"), F.lit("."))
+
+    def step(kept, segment):
+        parent = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return (
+            F.when(dots(segment) == "..", parent)
+            .when(dots(segment) == ".", kept)
+            .otherwise(F.array_append(kept, segment))
         )
-        .when(dot(s) == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    tail = F.when(dot(F.element_at(segments, -1)).isin(".", ".."), F.array(F.lit(""))).otherwise(
-        F.array().cast("array<string>")
-    )
-    folded = F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
-    return F.when(path.rlike(DOT_SEGMENT), folded).otherwise(path)
+
+    def fold(segments):
+        last = dots(F.element_at(segments, -1))
+        tail = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(nothing)
+        kept = F.aggregate(segments, nothing, step)
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
+
+    def apply(p):
+        segments = F.split(F.substring(p, 2, 2**31 - 1), "/", -1)
+        return F.when(p.rlike(DOT_SEGMENT), let(segments, fold)).otherwise(p)
+
+    return let(path, apply)
 
 
 def _origin(scheme: Column, authority: Column) -> Column:
     """``scheme://user@host:port`` in normal form, NULL for a bad authority."""
-    port = F.regexp_extract(authority, PORT_IN_AUTHORITY, 1).try_cast("int")
-    default = F.when(scheme == "http", DEFAULT_PORT["http"]).otherwise(DEFAULT_PORT["https"])
-    userinfo = F.regexp_extract(authority, USERINFO_IN_AUTHORITY, 1)
-    return F.concat(
-        scheme,
-        F.lit("://"),
-        F.when(userinfo.isin(":@"), F.lit("")).otherwise(userinfo),
-        authority_host(authority),
-        F.when(port.isNull() | (port == default), F.lit("")).otherwise(
-            F.concat(F.lit(":"), port.cast("string"))
+
+    def build(part):
+        port = part["port"].try_cast("int")
+        default = F.when(part["scheme"] == "http", DEFAULT_PORT["http"]).otherwise(
+            DEFAULT_PORT["https"]
+        )
+        return F.concat(
+            part["scheme"],
+            F.lit("://"),
+            F.when(part["user"].isin("@", ":@"), F.lit("")).otherwise(part["user"]),
+            part["host"],
+            F.when(port.isNull() | (port == default), F.lit("")).otherwise(
+                F.concat(F.lit(":"), port.cast("string"))
+            ),
+        )
+
+    return let(
+        F.struct(
+            scheme.alias("scheme"),
+            authority_host(authority).alias("host"),
+            F.regexp_extract(authority, USERINFO_IN_AUTHORITY, 1).alias("user"),
+            F.regexp_extract(authority, PORT_IN_AUTHORITY, 1).alias("port"),
         ),
+        build,
+    )
+
+
+def _scheme_and_rest(text: Column) -> Column:
+    return F.struct(
+        F.lower(F.regexp_extract(text, SCHEME, 1)).alias("scheme"),
+        F.regexp_replace(text, SCHEME, "").alias("rest"),
+        text.alias("text"),
     )
 
 
-def _split_reference(df: DataFrame, text: Column, prefix: str) -> DataFrame:
-    """Cut ``text`` into slash-normalised path, ``?query`` and ``#fragment`` columns."""
-    path = F.regexp_extract(text, r"(?s)^[^?#]*", 0)
-    return df.withColumns(
-        {
-            f"{prefix}path": F.translate(path, "\\", "/"),
-            f"{prefix}query": F.regexp_extract(text, r"(?s)^[^?#]*(\?[^#]*)", 1),
-            f"{prefix}fragment": F.regexp_extract(text, r"(?s)^[^#]*(#.*)$", 1),
-        }
+def _pieces(rest: Column) -> Column:
+    """Path (slashes normalised), ``?query`` and ``#fragment`` of a reference."""
+    return F.struct(
+        F.translate(F.regexp_extract(rest, r"(?s)^[^?#]*", 0), "\\", "/").alias("path"),
+        F.regexp_extract(rest, r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query"),
+        F.regexp_extract(rest, r"(?s)^[^#]*(#.*)$", 1).alias("fragment"),
     )
 
 
-def _take_authority(path: Column) -> tuple[Column, Column]:
-    body = F.regexp_replace(path, "^/+", "")
-    return F.regexp_extract(body, "^[^/]*", 0), F.regexp_replace(body, "^[^/]*", "")
+def _authority(path: Column) -> Column:
+    return F.regexp_extract(path, "^/*([^/]*)", 1)
+
+
+def _after_authority(path: Column) -> Column:
+    return _slash_if_empty(F.regexp_replace(path, "^/*[^/]*", ""))
+
+
+def _slash_if_empty(path: Column) -> Column:
+    return F.regexp_replace(path, "^$", "/")
 
 
-def with_base_parts(df: DataFrame, base: str) -> DataFrame:
-    """Parse the page URL once per page, before its links are exploded.
+def _normal_path(path: Column) -> Column:
+    return percent_encode(remove_dot_segments(path), PATH_SAFE)
 
-    Adds ``_base_*`` columns, which ``with_resolved_url`` consumes and drops.
+
+def base_parts(url: Column) -> Column:
+    """``struct(scheme, origin, path, query)`` of a page URL, to resolve its links with.
+
+    ``origin`` is NULL unless the URL is a valid absolute http(s) URL.
     """
-    text = clean(F.col(base))
-    df = df.withColumn("_base_scheme", F.lower(F.regexp_extract(text, SCHEME, 1)))
-    df = _split_reference(df, F.regexp_replace(text, SCHEME, ""), "_base_")
-    authority, path = _take_authority(F.col("_base_path"))
-    df = df.withColumns({"_base_authority": authority, "_base_path": path})
-    path = F.when(F.col("_base_path") == "", F.lit("/")).otherwise(F.col("_base_path"))
-    return df.withColumns(
-        {
-            "_base_origin": F.when(
-                F.col("_base_scheme").isin(*DEFAULT_PORT),
-                _origin(F.col("_base_scheme"), F.col("_base_authority")),
+
+    def build(head):
+        return let(
+            _pieces(head["rest"]),
+            lambda p: F.struct(
+                head["scheme"].alias("scheme"),
+                F.when(
+                    head["scheme"].isin(*DEFAULT_PORT), _origin(head["scheme"], _authority(p["path"]))
+                ).alias("origin"),
+                _normal_path(_after_authority(p["path"])).alias("path"),
+                percent_encode(p["query"], QUERY_SAFE).alias("query"),
             ),
-            "_base_path": percent_encode(remove_dot_segments(path), PATH_SAFE),
-            "_base_query": percent_encode(F.col("_base_query"), QUERY_SAFE),
-        }
-    ).drop("_base_authority", "_base_fragment")
+        )
+
+    return let(clean(url), lambda text: let(_scheme_and_rest(text), build))
 
 
-def with_resolved_url(df: DataFrame, href: str, out: str) -> DataFrame:
-    """Resolve ``href`` against the ``_base_*`` columns; NULL where that is impossible.
+def resolve(href: Column, base: Column) -> Column:
+    """``href`` resolved against ``base_parts`` of its page; NULL where that is impossible.
 
-    Non-http results keep only ``scheme:rest`` form: the scheme filter drops them.
-    Written as staged projections so that no regex result is computed twice.
+    The fragment is kept. Results of other schemes keep their written form. A plain
+    absolute path, the most common link, takes the short way.
     """
-    df = df.withColumn("_ref", clean(F.col(href)))
-    df = df.withColumns(
-        {
-            "_scheme": F.lower(F.regexp_extract("_ref", SCHEME, 1)),
-            "_rest": F.regexp_replace("_ref", SCHEME, ""),
-        }
-    )
-    df = _split_reference(df, F.col("_rest"), "_ref_")
-    scheme, base_scheme = F.col("_scheme"), F.col("_base_scheme")
-    http = scheme.isin(*DEFAULT_PORT)
-    df = df.withColumns(
-        {
-            "_other": (scheme != "") & ~http,
-            "_has_authority": F.col("_ref_path").startswith("//")
-            | (http & (scheme != base_scheme)),
-            "_final_scheme": F.when(http, scheme).otherwise(base_scheme),
-        }
-    )
-    authority, own_path = _take_authority(F.col("_ref_path"))
-    same_document = (F.col("_ref_path") == "") & ~F.col("_has_authority")
-    joined = (
-        F.when(F.col("_has_authority"), own_path)
-        .when(F.col("_ref_path").startswith("/"), F.col("_ref_path"))
-        .otherwise(
-            F.concat(F.regexp_extract("_base_path", "^.*/", 0), F.col("_ref_path"))
+
+    def relative(head):
+        return let(_pieces(head["rest"]), lambda p: join(head, p))
+
+    def join(head, p):
+        own_scheme = head["scheme"] != ""
+        scheme = F.when(own_scheme, head["scheme"]).otherwise(base["scheme"])
+        has_authority = p["path"].startswith("//") | (own_scheme & (head["scheme"] != base["scheme"]))
+        same_document = (p["path"] == "") & ~has_authority
+        path = (
+            F.when(has_authority, _after_authority(p["path"]))
+            .when(p["path"].startswith("/"), p["path"])
+            .otherwise(F.concat(F.regexp_extract(base["path"], "^.*/", 0), p["path"]))
         )
-    )
-    df = df.withColumns(
-        {
-            "_final_origin": F.when(
-                F.col("_has_authority"), _origin(F.col("_final_scheme"), authority)
-            ).otherwise(F.col("_base_origin")),
-            "_joined_path": F.when(joined == "", F.lit("/")).otherwise(joined),
-            "_same_document": same_document,
-        }
-    )
-    path = F.when(F.col("_same_document"), F.col("_base_path")).otherwise(
-        percent_encode(remove_dot_segments(F.col("_joined_path")), PATH_SAFE)
-    )
-    query = F.when(
-        F.col("_same_document") & (F.col("_ref_query") == ""), F.col("_base_query")
-    ).otherwise(percent_encode(F.col("_ref_query"), QUERY_SAFE))
-    resolved = F.when(F.col("_other"), F.col("_ref")).otherwise(
-        F.concat(
-            F.col("_final_origin"),
-            path,
-            query,
-            percent_encode(F.col("_ref_fragment"), FRAGMENT_SAFE),
+        return F.concat(
+            F.when(has_authority, _origin(scheme, _authority(p["path"]))).otherwise(base["origin"]),
+            F.when(same_document, base["path"]).otherwise(_normal_path(path)),
+            F.when(same_document & (p["query"] == ""), base["query"]).otherwise(
+                percent_encode(p["query"], QUERY_SAFE)
+            ),
+            percent_encode(p["fragment"], FRAGMENT_SAFE),
         )
-    )
-    df = df.withColumn(out, F.when(F.col("_base_origin").isNotNull(), resolved))
-    return df.drop(
-        "_ref", "_scheme", "_rest", "_ref_path", "_ref_query", "_ref_fragment", "_other",
-        "_has_authority", "_final_scheme", "_final_origin", "_joined_path", "_same_document",
-        "_base_scheme", "_base_origin", "_base_path", "_base_query",
+
+    def general(head):
+        other = (head["scheme"] != "") & ~head["scheme"].isin(*DEFAULT_PORT)
+        return F.when(other, head["text"]).otherwise(relative(head))
+
+    return let(
+        clean(href),
+        lambda text: F.when(base["origin"].isNull(), F.lit(None).cast("string"))
+        .when(text.rlike(PLAIN_PATH), F.concat(base["origin"], text))
+        .otherwise(let(_scheme_and_rest(text), general)),
     )
 
 
 def resolve_url(df: DataFrame, href: str = "href", base: str = "url", out: str = "resolved"):
-    """Add ``out``: ``href`` resolved against ``base``, fragment kept."""
-    return with_resolved_url(with_base_parts(df, base), href, out)
+    """Add ``out``: ``href`` resolved against the URL in ``base``."""
+    return df.withColumn(out, let(base_parts(F.col(base)), lambda b: resolve(F.col(href), b)))
 
 
 def canonicalize(df: DataFrame, url: str = "url", out: str = "url") -> DataFrame:
-    """Replace a URL by its normal form; NULL where it is not an absolute http(s) URL."""
-    return resolve_url(df.withColumn("_self", F.col(url)), "_self", url, out).drop("_self")
+    """A URL in normal form; NULL where it is not an absolute http(s) URL."""
+    return resolve_url(df, url, url, out)
 
 
 @F.pandas_udf(T.StringType())

@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlkit.functions.bind import let
 from crawlkit.functions.html import extract_hrefs
-from crawlkit.functions.urls import http_only, with_base_parts, with_resolved_url
+from crawlkit.functions.urls import base_parts, http_only, resolve
 from crawlkit.session import scratch
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def page_links(
+    pages: DataFrame, url: str = "url", html: str = "html", only_http: bool = False
+) -> DataFrame:
     """``(url, pos, href, resolved)`` of every non-empty link, in document order.
 
-    The page URL is parsed once per page. The html column ends at the explode.
+    Links are resolved inside the array: the page URL is parsed once per page, and links
+    that are not kept never become rows. The outer inline plus a NULL filter stops the
+    optimizer from adding a ``size(links) > 0`` test that would parse each page twice.
     """
-    hrefs = with_base_parts(
-        pages.select(F.col(url).alias("url"), extract_hrefs(F.col(html)).alias("_hrefs")), "url"
-    )
-    links = hrefs.select(
-        *[c for c in hrefs.columns if c != "_hrefs"], F.posexplode("_hrefs").alias("pos", "href")
-    )
-    return with_resolved_url(links, "href", "resolved")
+
+    def resolve_all(base):
+        links = F.transform(
+            extract_hrefs(F.col(html)),
+            lambda href, pos: F.struct(
+                pos.alias("pos"), href.alias("href"), resolve(href, base).alias("resolved")
+            ),
+        )
+        return F.filter(links, lambda link: http_only(link["resolved"])) if only_http else links
+
+    links = let(base_parts(F.col(url)), resolve_all)
+    return pages.select(F.col(url).alias("url"), F.inline_outer(links)).where("pos is not null")
 
 
 def build_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(src, dst, pos)`` for every link that resolves to http or https."""
-    return (
-        page_links(pages, url, html)
-        .where(http_only(F.col("resolved")))
-        .select(F.col("url").alias("src"), F.col("resolved").alias("dst"), "pos")
+    return page_links(pages, url, html, only_http=True).select(
+        F.col("url").alias("src"), F.col("resolved").alias("dst"), "pos"
     )
 
 
@@ -67,8 +75,6 @@ def crawl_closure(seeds: DataFrame, edges: DataFrame, max_depth: int | None = No
 
 def closure_growth(depths: DataFrame) -> DataFrame:
     """New and cumulative URLs per round. The running sum sees one row per round."""
-    from pyspark.sql import Window
-
     rounds = depths.groupBy("depth").agg(F.count("*").alias("new_urls"))
     upto = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rounds.withColumn("seen_urls", F.sum("new_urls").over(upto))

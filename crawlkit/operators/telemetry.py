@@ -127,7 +127,7 @@ def queue_status(jobs: DataFrame) -> DataFrame:
     return (
         jobs.groupBy("queue")
         .pivot("state", JOB_STATES)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .na.fill(0, JOB_STATES)
     )
 

@@ -176,7 +176,7 @@ ORACLES: dict[str, str] = {
       count(*) FILTER (url NOT IN (SELECT url FROM seen)) AS n_unseen,
       0 AS n_false_negative, true AS rate_in_bound FROM (SELECT DISTINCT url FROM accepted)""",
     "rate_limit_first_hit": _recursive(
-        """hits AS (SELECT event_id AS id, user_id AS client, epoch_ms(ts) AS ms, ts FROM events)""",
+        """hits AS (SELECT event_id AS id, user_id AS client, epoch_us(ts) // 1000 AS ms, ts FROM events)""",
         """starts AS (
       SELECT client, min(ms) AS start FROM hits GROUP BY client
       UNION ALL
@@ -192,7 +192,7 @@ ORACLES: dict[str, str] = {
     "rate_limit_aligned": """SELECT id, client, w * 86400000 AS window_start_ms, hit <= 5 AS allowed,
       CASE WHEN hit > 5 THEN (w + 1) * 86400000 - ms END AS ms_before_next FROM (
         SELECT *, row_number() OVER (PARTITION BY client, w ORDER BY ts, id) AS hit FROM (
-          SELECT event_id AS id, user_id AS client, ts, epoch_ms(ts) AS ms, epoch_ms(ts) // 86400000 AS w
+          SELECT event_id AS id, user_id AS client, ts, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 86400000000 AS w
           FROM events))""",
     "polite_plan": _with(REQUESTS, LINKS, QUEUE)
     + """SELECT host, url, id, slot, slot * 1000 AS ready_ms FROM (
