@@ -5,7 +5,7 @@ Zone-free timestamps are read as UTC; ``session.prepare`` pins the session zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,8 @@ def from_micros(us: Column) -> Column:
 def floor_to(value: Column, width: int) -> Column:
     """Largest multiple of ``width`` not above an integer ``value``."""
     return value - F.pmod(value, F.lit(width))
+
+
+def with_watermark(df: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
+    """A watermark needs a timestamp with a zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)

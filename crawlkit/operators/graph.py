@@ -12,10 +12,16 @@ from crawlkit.session import scratch
 
 
 def page_links(
-    pages: DataFrame, url: str = "url", html: str = "html", only_http: bool = False
+    pages: DataFrame,
+    url: str = "url",
+    html: str = "html",
+    only_http: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(url, pos, href, resolved)`` of every non-empty link, in document order.
 
+    ``keep`` names further page columns to carry along.
+
     Links are resolved inside the array: the page URL is parsed once per page, and links
     that are not kept never become rows. The outer inline plus a NULL filter stops the
     optimizer from adding a ``size(links) > 0`` test that would parse each page twice.
@@ -31,7 +37,9 @@ def page_links(
         return F.filter(links, lambda link: http_only(link["resolved"])) if only_http else links
 
     links = let(base_parts(F.col(url)), resolve_all)
-    return pages.select(F.col(url).alias("url"), F.inline_outer(links)).where("pos is not null")
+    return pages.select(F.col(url).alias("url"), *keep, F.inline_outer(links)).where(
+        "pos is not null"
+    )
 
 
 def build_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -120,8 +120,9 @@ class Views:
         seeds = pages.where("page_id % 25 = 0").select(
             "url", self._page_time(F.col("page_id")).alias("ts"), F.lit(0).cast("bigint").alias("id")
         )
-        discovered = self.edges().join(pages.withColumnRenamed("url", "src"), "src").select(
-            F.col("dst").alias("url"),
+        links = graph.page_links(self.pages(), only_http=True, keep=("page_id",))
+        discovered = links.select(
+            F.col("resolved").alias("url"),
             self._page_time(F.col("page_id")).alias("ts"),
             (F.col("pos") + 1).cast("bigint").alias("id"),
         )

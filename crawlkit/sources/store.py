@@ -1,7 +1,8 @@
 """The page store: raw HTML addressed by the SHA-256 of its URL.
 
-Writes append versions and never rewrite files, so a lost task cannot damage what is
-stored. A read takes the newest version; ``compact_html_store`` writes those to a new path.
+Each write is a batch folder of its own and touches no other, so a failed or repeated
+write cannot damage what is stored. A read takes the newest version of each page;
+``compact_html_store`` writes those to a new path.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from crawlkit.functions.urls import shard_columns, shard_path, url_hash
 
 
 def latest_pages(pages: DataFrame, key: str = "url", version: str = "version") -> DataFrame:
-    """Newest row per key.
+    """Newest row per key; ``version`` must differ within a key.
 
     The newest version is found on narrow columns with partial aggregation; the pages
     then join on (key, version), so even a page fetched very often spreads over tasks.
@@ -31,8 +32,10 @@ def store_layout(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_html_store(pages: DataFrame, path: str, digits: int = 2) -> None:
-    """Append ``url, html, version`` rows under ``shard1=ab`` folders, sorted by hash.
+def write_html_store(pages: DataFrame, path: str, batch: int = 0, digits: int = 2) -> None:
+    """Store ``url, html, version`` rows under ``batch=n/shard1=ab``, sorted by hash.
+
+    Writing a batch number again replaces that batch.
 
     Hashes are uniform, so their first ``digits`` hex digits (16^digits groups) give even
     tasks without sampling: 2 suits gigabytes, 4 suits 100 TB.
@@ -42,9 +45,9 @@ def write_html_store(pages: DataFrame, path: str, digits: int = 2) -> None:
         laid_out.select("url_hash", "url", "html", F.col("version").cast("bigint"), "shard1")
         .repartition(F.substring("url_hash", 1, digits))
         .sortWithinPartitions("shard1", "url_hash")
-        .write.mode("append")
+        .write.mode("overwrite")
         .partitionBy("shard1")
-        .parquet(path)
+        .parquet(f"{path}/batch={batch}")
     )
 
 
@@ -56,9 +59,10 @@ def read_html_store(spark: SparkSession, path: str, url: str | None = None) -> D
         stored = stored.where(
             (F.col("shard1") == F.substring(hashed, 1, 2)) & (F.col("url_hash") == hashed)
         )
-    return latest_pages(stored, "url_hash").drop("shard1")
+    newest = latest_pages(stored.withColumn("at", F.struct("version", "batch")), "url_hash", "at")
+    return newest.drop("at", "batch", "shard1")
 
 
 def compact_html_store(spark: SparkSession, path: str, target: str, digits: int = 2) -> None:
     """Write the newest version of every page to a new store."""
-    write_html_store(read_html_store(spark, path), target, digits)
+    write_html_store(read_html_store(spark, path), target, digits=digits)
