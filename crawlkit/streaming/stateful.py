@@ -96,7 +96,8 @@ def rate_limit_stream(
             statefulProcessor=_Limiter(points, duration_ms, emit == "delay", ttl_ms),
             outputStructType=out,
             outputMode="Append",
-            timeMode="ProcessingTime",
+            # Time to live needs a clock; without it no empty micro-batches are run.
+            timeMode="None" if ttl_ms is None else "ProcessingTime",
         )
     )
 
