@@ -12,7 +12,10 @@ from crawlkit.functions.html import page_title
 from crawlkit.functions.times import micros
 from crawlkit.operators import bloom, frontier, graph, jobs, limits, telemetry
 from crawlkit.plans.views import FETCH_QUEUE, Views
+from crawlkit.session import scratch
 from crawlkit.sources import io, store
+from crawlkit.streaming import ingest, metrics, stateful
+from crawlkit.streaming.run import drain, finish
 
 DAY_MS = 86_400_000
 DAY_US = DAY_MS * 1000
@@ -373,6 +376,46 @@ def new_links_by_host(v):
     ).withColumn("first_path", urls.shard_path(F.col("first_hash")))
 
 
+# --- streams, run over what is there -----------------------------------------------------
+
+
+def ingest_stream_urls(v):
+    live = v.streaming("events")
+    return drain(ingest.ingest_stream(live.requests()), "ingest").select("url")
+
+
+def ingest_stream_exact(v):
+    live = v.streaming("events").requests().withColumn("id", F.col("id").cast("string"))
+    home = scratch(v.spark, "ingest-exact")
+    finish(
+        ingest.ingest_stream_exact(
+            live.select("id", "ts", "url"), f"{home}/out", f"{home}/checkpoint", v.seen()
+        )
+    )
+    routed = [
+        ingest.read_routed(v.spark, f"{home}/out", name).select(
+            F.col("id").cast("bigint").alias("id"), "url", F.lit(name).alias("route")
+        )
+        for name in ("accepted", "rejected")
+    ]
+    return routed[0].unionByName(routed[1])
+
+
+def metrics_stream(v):
+    """Hourly counts. A window comes out once the watermark has passed its end."""
+    live = v.streaming("events")
+    return drain(metrics.metrics_stream(live.fetch_log(), "1 hour"), "metrics")
+
+
+def rate_limit_stream(v):
+    stateful.use_rocksdb(v.spark)
+    live = v.streaming("events").requests()
+    out = stateful.rate_limit_stream(live, "client", points=5, duration_ms=DAY_MS)
+    return drain(out, "limiter").select(
+        "id", F.col("key").alias("client"), "allowed", "ready_ms"
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -391,6 +434,7 @@ QUERIES: dict[str, Query] = {
         html_store_layout, page_titles, extract_links, resolve_links, scheme_filter,
         link_edges, link_stats, link_in_degree, top_hubs, crawl_depth, crawl_growth,
         frontier_fetch, new_links_by_host,
+        ingest_stream_urls, ingest_stream_exact, metrics_stream, rate_limit_stream,
     ]
 }
 

@@ -147,6 +147,19 @@ ERROR_CLASS = """failures AS (
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events WHERE event_type = 'error')"""
 
+FIRST_HIT = _recursive(
+    """hits AS (SELECT event_id AS id, user_id AS client, epoch_us(ts) // 1000 AS ms, ts FROM events)""",
+    """starts AS (
+      SELECT client, min(ms) AS start FROM hits GROUP BY client
+      UNION ALL
+      SELECT s.client, (SELECT min(h.ms) FROM hits h WHERE h.client = s.client AND h.ms >= s.start + 86400000)
+      FROM starts s WHERE EXISTS (SELECT 1 FROM hits h WHERE h.client = s.client AND h.ms >= s.start + 86400000))""",
+    """placed AS (
+      SELECT h.id, h.client, h.ms, s.start,
+    row_number() OVER (PARTITION BY h.client, s.start ORDER BY h.ts, h.id) AS hit
+      FROM hits h ASOF JOIN starts s ON h.client = s.client AND h.ms >= s.start)""",
+)
+
 ORACLES: dict[str, str] = {
     "ingest_admit": _with(REQUESTS)
     + """SELECT id, CASE WHEN coalesce(url, '') = '' THEN 400 ELSE 202 END AS status,
@@ -175,20 +188,20 @@ ORACLES: dict[str, str] = {
     + """SELECT count(*) FILTER (url IN (SELECT url FROM seen)) AS n_seen,
       count(*) FILTER (url NOT IN (SELECT url FROM seen)) AS n_unseen,
       0 AS n_false_negative, true AS rate_in_bound FROM (SELECT DISTINCT url FROM accepted)""",
-    "rate_limit_first_hit": _recursive(
-        """hits AS (SELECT event_id AS id, user_id AS client, epoch_us(ts) // 1000 AS ms, ts FROM events)""",
-        """starts AS (
-      SELECT client, min(ms) AS start FROM hits GROUP BY client
-      UNION ALL
-      SELECT s.client, (SELECT min(h.ms) FROM hits h WHERE h.client = s.client AND h.ms >= s.start + 86400000)
-      FROM starts s WHERE EXISTS (SELECT 1 FROM hits h WHERE h.client = s.client AND h.ms >= s.start + 86400000))""",
-        """placed AS (
-      SELECT h.id, h.client, h.ms, s.start,
-        row_number() OVER (PARTITION BY h.client, s.start ORDER BY h.ts, h.id) AS hit
-      FROM hits h ASOF JOIN starts s ON h.client = s.client AND h.ms >= s.start)""",
-    )
+    "rate_limit_first_hit": FIRST_HIT
     + """SELECT id, client, start AS window_start_ms, hit, hit <= 5 AS allowed,
       CASE WHEN hit > 5 THEN start + 86400000 - ms END AS ms_before_next FROM placed""",
+    "rate_limit_stream": FIRST_HIT
+    + """SELECT id, client, hit <= 5 AS allowed,
+      CASE WHEN hit > 5 THEN start + 86400000 ELSE ms END AS ready_ms FROM placed""",
+    "ingest_stream_urls": _with(REQUESTS) + "SELECT DISTINCT url FROM accepted",
+    "ingest_stream_exact": _with(REQUESTS, FIRSTS)
+    + """SELECT id, url, CASE WHEN id IN (SELECT id FROM firsts) THEN 'accepted' ELSE 'rejected' END AS route
+      FROM accepted""",
+    "metrics_stream": _with(LOG)
+    + """SELECT date_trunc('hour', ts) AS window_start, domain, status, count(*) AS n FROM log
+      WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 MINUTE
+      GROUP BY ALL""",
     "rate_limit_aligned": """SELECT id, client, w * 86400000 AS window_start_ms, hit <= 5 AS allowed,
       CASE WHEN hit > 5 THEN (w + 1) * 86400000 - ms END AS ms_before_next FROM (
         SELECT *, row_number() OVER (PARTITION BY client, w ORDER BY ts, id) AS hit FROM (

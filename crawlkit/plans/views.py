@@ -28,6 +28,17 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream of files."""
+        source = self.spark.readStream.schema(self.table(name).schema)
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)
+
+    def streaming(self, *names: str) -> Views:
+        """These views with the named tables read as streams."""
+        views = Views(self.spark, self.dir)
+        views.table = lambda name: self.stream(name) if name in names else self.table(name)
+        return views
+
     def pages(self) -> DataFrame:
         return self.table("pages")
 
