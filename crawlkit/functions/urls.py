@@ -33,6 +33,8 @@ DOT_SEGMENT = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"
 PATH_SAFE = r"\x21\x24-\x3b\x3d\x40-\x5d\x5f\x61-\x7a\x7c\x7e"
 QUERY_SAFE = r"\x21\x24-\x26\x28-\x3b\x3d\x3f-\x7e"
 FRAGMENT_SAFE = r"\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7e"
+# A lower-case host name without port whose last label is not a number.
+PLAIN_HOST = r"^https?://((?:[a-z0-9-]++\.)*+[a-z][a-z0-9-]*+)(?:[/?#]|$)"
 # An absolute path without dot segments, query or anything to encode.
 PLAIN_PATH = (
     r"^/(?![/\\])(?!(?:.*/)?(?:\.|%2[eE]){1,2}(?:/|$))"
@@ -65,8 +67,19 @@ def authority_host(authority: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Host of an absolute http(s) URL: lower case, no port, no user info; else NULL."""
-    return authority_host(F.regexp_extract(clean(url), HTTP_AUTHORITY, 1))
+    """Host of an absolute http(s) URL: lower case, no port, no user info; else NULL.
+
+    A plain lower-case host name, the common case, takes one regex.
+    """
+
+    def host(text):
+        general = authority_host(F.regexp_extract(clean(text), HTTP_AUTHORITY, 1))
+        return let(
+            F.regexp_extract(text, PLAIN_HOST, 1),
+            lambda plain: F.when(plain != "", plain).otherwise(general),
+        )
+
+    return let(url, host)
 
 
 def valid_url(url: Column) -> Column:

@@ -54,11 +54,11 @@ def rate_limit(
         .groupBy(F.col(key).alias("key"), F.col("_ms").alias("ms"))
         .agg(F.count("*").alias("n"))
         .withColumn("slice", floor_to(F.col("ms"), slice_ms))
+        # Both passes read this one exchange, and the join below keeps its partitioning.
+        .repartition("key", "slice")
     )
     steps = (
-        hits.select("key", "slice", "ms")
-        .repartition("key", "slice")
-        .sortWithinPartitions("key", "slice", "ms")
+        hits.sortWithinPartitions("key", "slice", "ms")
         .mapInPandas(_step_functions(duration_ms, slice_ms), _schema(key_type, "slice", "opening", "end"))
     )
     entries = (
@@ -69,7 +69,6 @@ def rate_limit(
     marked = (
         hits.join(entries, ["key", "slice"], "left")
         .select("key", "slice", "ms", "n", F.coalesce("open_until", F.col("slice")).alias("open_until"))
-        .repartition("key", "slice")
         .sortWithinPartitions("key", "slice", "ms")
         .mapInPandas(_mark_windows(duration_ms, slice_ms), _schema(key_type, "ms", "n", "start"))
     )

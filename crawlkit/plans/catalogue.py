@@ -12,7 +12,7 @@ from crawlkit.functions.html import page_title
 from crawlkit.functions.times import micros
 from crawlkit.operators import bloom, frontier, graph, jobs, limits, telemetry
 from crawlkit.plans.views import FETCH_QUEUE, Views
-from crawlkit.session import scratch
+from crawlkit.session import materialize, scratch
 from crawlkit.sources import io, store
 from crawlkit.streaming import ingest, metrics, stateful
 from crawlkit.streaming.run import drain, finish
@@ -100,7 +100,8 @@ def rate_limit_aligned(v):
 
 
 def polite_plan(v):
-    return limits.polite_plan(v.queue()).select("host", "url", "id", "slot", "ready_ms")
+    queue = materialize(v.queue().select("host", "url", "ts", "id"), "queue")
+    return limits.polite_plan(queue).select("host", "url", "id", "slot", "ready_ms")
 
 
 def crawl_delay_violations(v):
@@ -364,16 +365,16 @@ def frontier_fetch(v):
 def new_links_by_host(v):
     """Flagship: links the crawl has not fetched yet, per host, with the store address
     of the first of them."""
-    links = v.edges().select(F.col("dst").alias("url"), "src", "pos").withColumn(
-        "host", urls.url_host(F.col("url"))
+    per_url = v.edges().groupBy(F.col("dst").alias("url")).agg(F.count("*").alias("n"))
+    fresh = per_url.join(v.pages().select("url"), "url", "left_anti")
+    hosts = fresh.select(
+        urls.url_host(F.col("url")).alias("host"), urls.url_hash(F.col("url")).alias("h"), "n"
+    )
+    return (
+        hosts.groupBy("host")
+        .agg(F.count("*").alias("n_urls"), F.sum("n").alias("n_links"), F.min("h").alias("first_hash"))
+        .withColumn("first_path", urls.shard_path(F.col("first_hash")))
     )
-    fresh = links.join(v.pages().select("url"), "url", "left_anti")
-    per_url = fresh.groupBy("host", "url").agg(F.count("*").alias("n"))
-    return per_url.groupBy("host").agg(
-        F.count("*").alias("n_urls"),
-        F.sum("n").alias("n_links"),
-        F.min(urls.url_hash(F.col("url"))).alias("first_hash"),
-    ).withColumn("first_path", urls.shard_path(F.col("first_hash")))
 
 
 # --- streams, run over what is there -----------------------------------------------------

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, name: str = "crawlkit") -> SparkSession:
@@ -50,3 +50,13 @@ def scratch(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="crawlkit-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/crawlkit/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back.
+
+    For a costly input, such as parsed pages, that a plan would otherwise compute twice.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
