@@ -140,13 +140,24 @@ def gauge_at(transitions: DataFrame, step_us: int) -> DataFrame:
     """
     at = (F.ceil(F.col("us") / F.lit(step_us)).cast("bigint") * step_us).alias("us")
     buckets = transitions.groupBy("queue", "gauge", at).agg(F.sum("delta").alias("delta"))
-    grid = buckets.groupBy("queue", "gauge").agg(
-        F.min("us").alias("lo"), F.max("us").alias("hi")
-    ).select(
-        "queue",
-        "gauge",
-        F.explode(F.sequence("lo", "hi", F.lit(step_us).cast("bigint"))).alias("us"),
-        F.lit(0).cast("bigint").alias("delta"),
+    # Two explodes, so that no row holds the whole grid of a series.
+    stretch = F.lit(step_us * 4096).cast("bigint")
+    grid = (
+        buckets.groupBy("queue", "gauge")
+        .agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+        .select("queue", "gauge", "hi", F.explode(F.sequence("lo", "hi", stretch)).alias("lo"))
+        .select(
+            "queue",
+            "gauge",
+            F.explode(
+                F.sequence(
+                    "lo",
+                    F.least(F.col("hi"), F.col("lo") + stretch - step_us),
+                    F.lit(step_us).cast("bigint"),
+                )
+            ).alias("us"),
+            F.lit(0).cast("bigint").alias("delta"),
+        )
     )
     samples = buckets.unionByName(grid).groupBy("queue", "gauge", "us").agg(
         F.sum("delta").alias("delta")
@@ -191,15 +202,16 @@ def latency_summary(calls: DataFrame, latency: str = "latency_ms", shares=(0.5,
         F.try_divide(F.count("*"), (F.max(us) - F.min(us)) / F.lit(1e6)).alias("calls_per_sec"),
     )
     n = base.select("n_calls").scalar()
+    names = [f"p{round(q * 100)}_ms" for q in shares]
     picks = cumulative.agg(
-        *[
-            F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * n), F.col("v"))).alias(
-                f"p{round(q * 100)}_ms"
-            )
-            for q in shares
-        ]
-    )
-    return base.withColumns({c: picks.select(c).scalar() for c in picks.columns})
+        F.struct(
+            *[
+                F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * n), F.col("v"))).alias(name)
+                for q, name in zip(shares, names)
+            ]
+        ).alias("picks")
+    ).scalar()
+    return base.withColumn("_picks", picks).select("*", *[f"_picks.{c}" for c in names]).drop("_picks")
 
 
 def accept_ratio(answered: DataFrame) -> DataFrame:
@@ -211,17 +223,16 @@ def accept_ratio(answered: DataFrame) -> DataFrame:
 
 def domain_share(frontier: DataFrame, window_us: int, points: int = 5) -> DataFrame:
     """Queue share per host, and look-ups spent on hosts already at their limit."""
-    per_window = frontier.groupBy(
+    per_window = frontier.where("host is not null").groupBy(
         "host", (F.floor(micros(F.col("ts")) / F.lit(window_us))).alias("w")
     ).agg(F.count("*").alias("n"))
     per_host = per_window.groupBy("host").agg(
         F.sum("n").alias("n_urls"),
         F.sum(F.greatest(F.col("n") - points, F.lit(0))).alias("n_wasted"),
     )
-    total = frontier.where("host is not null").agg(F.count("*").alias("t")).scalar()
-    return per_host.where("host is not null").withColumn(
-        "share", F.try_divide(F.col("n_urls").cast("double"), total)
-    )
+    # The total reads the same exchange of (host, window) counts, not the frontier again.
+    total = per_window.agg(F.sum("n")).scalar()
+    return per_host.withColumn("share", F.try_divide(F.col("n_urls").cast("double"), total))
 
 
 def failure_windows(calls: DataFrame, window: str = "10 seconds", slow_ms: float = 200, pct: float = 50) -> DataFrame:

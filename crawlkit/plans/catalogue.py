@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlkit import schemas
 from crawlkit.functions import retry, urls
 from crawlkit.functions.html import page_title
 from crawlkit.functions.times import micros
 from crawlkit.operators import bloom, frontier, graph, jobs, limits, telemetry
-from crawlkit.plans.views import FETCH_QUEUE, Views
+from crawlkit.plans.views import EPOCH, FETCH_QUEUE, Views
 from crawlkit.session import materialize, scratch
 from crawlkit.sources import io, store
-from crawlkit.streaming import ingest, metrics, stateful
+from crawlkit.streaming import crawl, ingest, metrics, stateful
 from crawlkit.streaming.run import drain, finish
 
 DAY_MS = 86_400_000
@@ -417,6 +418,22 @@ def rate_limit_stream(v):
     )
 
 
+def crawl_stream(v):
+    """Every page address as a fetch job; the store afterwards."""
+    home = scratch(v.spark, "crawl")
+    jobs_ = v.stream("pages").select("url", F.lit(EPOCH).cast("timestamp_ntz").alias("ts"))
+    finish(
+        crawl.crawl_stream(
+            jobs_, v.pages(), f"{home}/store", f"{home}/ingest", f"{home}/checkpoint"
+        )
+    )
+    stored = store.read_html_store(v.spark, f"{home}/store")
+    found = v.spark.read.schema(schemas.INGEST).parquet(f"{home}/ingest")
+    pages = stored.select("url", F.md5("html").alias("html_md5"), F.lit(1).alias("n"))
+    links = found.groupBy("url").agg(F.count("*").cast("int").alias("n"))
+    return pages.unionByName(links.withColumn("html_md5", F.lit(None).cast("string")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -435,7 +452,7 @@ QUERIES: dict[str, Query] = {
         html_store_layout, page_titles, extract_links, resolve_links, scheme_filter,
         link_edges, link_stats, link_in_degree, top_hubs, crawl_depth, crawl_growth,
         frontier_fetch, new_links_by_host,
-        ingest_stream_urls, ingest_stream_exact, metrics_stream, rate_limit_stream,
+        ingest_stream_urls, ingest_stream_exact, crawl_stream, metrics_stream, rate_limit_stream,
     ]
 }
 

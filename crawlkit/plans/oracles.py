@@ -198,6 +198,9 @@ ORACLES: dict[str, str] = {
     "ingest_stream_exact": _with(REQUESTS, FIRSTS)
     + """SELECT id, url, CASE WHEN id IN (SELECT id FROM firsts) THEN 'accepted' ELSE 'rejected' END AS route
       FROM accepted""",
+    "crawl_stream": _with(LINKS)
+    + """SELECT url, md5(html) AS html_md5, 1 AS n FROM pages
+      UNION ALL SELECT dst, NULL, count(*) FROM edges GROUP BY dst""",
     "metrics_stream": _with(LOG)
     + """SELECT date_trunc('hour', ts) AS window_start, domain, status, count(*) AS n FROM log
       WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 MINUTE
