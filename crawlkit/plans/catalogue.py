@@ -434,6 +434,13 @@ def crawl_stream(v):
     return pages.unionByName(links.withColumn("html_md5", F.lit(None).cast("string")))
 
 
+def retry_stream(v):
+    """Failed attempts come back once event time passes their wait; the fifth is dead."""
+    stateful.use_rocksdb(v.spark)
+    failures = v.streaming("lineitem").job_events().where("error is not null")
+    return drain(stateful.retry_stream(failures, cap=retry.INGEST_ATTEMPTS), "retry")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -453,6 +460,7 @@ QUERIES: dict[str, Query] = {
         link_edges, link_stats, link_in_degree, top_hubs, crawl_depth, crawl_growth,
         frontier_fetch, new_links_by_host,
         ingest_stream_urls, ingest_stream_exact, crawl_stream, metrics_stream, rate_limit_stream,
+        retry_stream,
     ]
 }
 

@@ -201,6 +201,14 @@ ORACLES: dict[str, str] = {
     "crawl_stream": _with(LINKS)
     + """SELECT url, md5(html) AS html_md5, 1 AS n FROM pages
       UNION ALL SELECT dst, NULL, count(*) FROM edges GROUP BY dst""",
+    "retry_stream": _with(JOB_EVENTS)
+    + """SELECT job_id, attempt, error, verdict, at_ms FROM (
+      SELECT job_id, n AS attempt, error, CASE WHEN n >= 5 THEN 'dead' ELSE 'retry' END AS verdict,
+        epoch_us(ts) // 1000 + CASE WHEN n >= 5 THEN 0 WHEN error = 'DomainRateLimitError' THEN 1000
+          ELSE CAST(least(1000 * power(2, n), 30000) AS BIGINT) END AS at_ms
+      FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS n
+            FROM job_events WHERE error IS NOT NULL))
+      WHERE verdict = 'dead' OR at_ms <= (SELECT epoch_us(max(ts)) // 1000 FROM job_events WHERE error IS NOT NULL)""",
     "metrics_stream": _with(LOG)
     + """SELECT date_trunc('hour', ts) AS window_start, domain, status, count(*) AS n FROM log
       WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 MINUTE
