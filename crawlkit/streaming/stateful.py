@@ -31,6 +31,12 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _sorted_rows(chunks: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """Rows of a key, ordered by the first columns. Groups are small: plain lists win."""
+    rows = [row for chunk in chunks for row in zip(*[chunk[c].tolist() for c in columns])]
+    return sorted(rows, key=lambda row: row[:2])
+
+
 class _Limiter(StatefulProcessor):
     """Window start and points used, per key."""
 
@@ -41,22 +47,19 @@ class _Limiter(StatefulProcessor):
         self.window = handle.getValueState("window", "start BIGINT, used BIGINT", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        hits = pd.concat(list(rows)).sort_values(["ms", "id"])
-        start, used = self.window.get() if self.window.exists() else (None, 0)
-        allowed, ready = [], []
-        for ms in hits["ms"].tolist():
+        start, used = self.window.get() or (None, 0)
+        out = []
+        for ms, id in _sorted_rows(rows, "ms", "id"):
             if start is None or ms >= start + self.duration:
                 start, used = ms, 0
             elif self.delay and used == self.points:
                 start, used = start + self.duration, 0
             passes = used < self.points
             used += passes
-            allowed.append(passes)
-            ready.append(max(ms, start) if passes else start + self.duration)
+            ready = max(ms, start) if passes else start + self.duration
+            out.append((key[0], id, ms, passes, ready))
         self.window.update((start, used))
-        yield pd.DataFrame(
-            {"key": key[0], "id": hits["id"], "ms": hits["ms"], "allowed": allowed, "ready_ms": ready}
-        )
+        yield pd.DataFrame(out, columns=["key", "id", "ms", "allowed", "ready_ms"])
 
     def close(self) -> None:
         pass
@@ -110,32 +113,52 @@ class _Retry(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.attempts = handle.getValueState("attempts", "n BIGINT")
-        self.waiting = handle.getMapState("waiting", "due BIGINT, attempt BIGINT", "error STRING")
+        # One value per job: every access to state is a round trip. At most ``cap`` entries.
+        self.job = handle.getValueState(
+            "job", "used BIGINT, due ARRAY<BIGINT>, attempt ARRAY<BIGINT>, error ARRAY<STRING>"
+        )
+
+    def _load(self):
+        stored = self.job.get()
+        if stored is None:
+            return 0, []
+        used, due, attempt, error = stored
+        return used, list(zip(due, attempt, error))
+
+    def _save(self, used, waiting) -> None:
+        due, attempt, error = map(list, zip(*waiting)) if waiting else ([], [], [])
+        self.job.update((used, due, attempt, error))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failures = pd.concat(list(rows)).sort_values(["ms", "seq"])
-        n = self.attempts.get()[0] if self.attempts.exists() else 0
+        used, waiting = self._load()
         dead = []
-        for ms, error in zip(failures["ms"].tolist(), failures["error"].tolist()):
-            n += 1
-            if n >= self.cap:
-                dead.append((key[0], n, error, ms, "dead"))
+        for ms, _, error in _sorted_rows(rows, "ms", "seq", "error"):
+            used += 1
+            if used >= self.cap:
+                dead.append((key[0], used, error, ms, "dead"))
                 continue
-            wait = (
-                FETCH_BASE_MS if error == DOMAIN_LIMIT else min(FETCH_BASE_MS * 2**n, FETCH_CAP_MS)
-            )
-            self.waiting.updateValue((ms + wait, n), (error,))
-            self.handle.registerTimer(ms + wait)
-        self.attempts.update((n,))
-        yield self._frame(dead)
+            wait = FETCH_BASE_MS if error == DOMAIN_LIMIT else FETCH_BASE_MS * 2**used
+            due = ms + min(wait, FETCH_CAP_MS)
+            waiting.append((due, used, error))
+        self._wake(waiting)
+        self._save(used, waiting)
+        if dead:
+            yield self._frame(dead)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = [(k, v) for k, v in self.waiting.iterator() if k[0] <= now]
-        for k, _ in due:
-            self.waiting.removeKey(tuple(k))
-        yield self._frame([(key[0], k[1], v[0], k[0], "retry") for k, v in sorted(due)])
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        used, waiting = self._load()
+        due = sorted(w for w in waiting if w[0] <= now)
+        if due:
+            waiting = [w for w in waiting if w[0] > now]
+            self._wake(waiting)
+            self._save(used, waiting)
+            yield self._frame([(key[0], n, error, at, "retry") for at, n, error in due])
+
+    def _wake(self, waiting) -> None:
+        """One timer per job: for the earliest retry."""
+        if waiting:
+            self.handle.registerTimer(min(waiting)[0])
 
     @staticmethod
     def _frame(rows) -> pd.DataFrame:
