@@ -7,9 +7,11 @@ micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,10 @@ from crawlkit.functions.retry import (
 from crawlkit.functions.times import millis, with_watermark
 from crawlkit.operators.limits import DOMAIN_DURATION_MS, DOMAIN_POINTS
 
+# The driver starts its own Python worker for stateful processors, and that one does not
+# see files added to the session: send the processors themselves, not their names.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
