@@ -6,6 +6,7 @@ fills; each slice is scanned on its own, and the running value of the earlier sl
 added from a table with one row per (key, slice). Slice numbers come from sampled
 bounds, so the sliced rows are written once to the shared scratch folder and both
 passes read the same table, also after an executor is lost.
+Callers give columns that do not start with an underscore.
 """
 
 from __future__ import annotations
@@ -42,32 +43,33 @@ def running(
     """
     sums, maxima = sums or {}, maxima or {}
     keys = list(keys)
-    rows = _sliced(df, keys, order)
+    values = {f"_{n}": c for n, c in (sums | maxima).items()}
+    rows = _sliced(df.withColumns(values), keys, order)
     totals = rows.groupBy(*keys, "_slice").agg(
-        *[F.sum(c).alias(f"_carry_{n}") for n, c in sums.items()],
-        *[F.max(c).alias(f"_carry_{n}") for n, c in maxima.items()],
+        *[F.sum(f"_{n}").alias(f"_{n}") for n in sums], *[F.max(f"_{n}").alias(f"_{n}") for n in maxima]
     )
     # One row per (key, slice): a key has no more rows here than there are partitions.
     earlier = (
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = totals.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_slice").alias("_key_slice"),
-        *[F.coalesce(F.sum(f"_carry_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in sums],
-        *[F.max(f"_carry_{n}").over(earlier).alias(f"_carry_{n}") for n in maxima],
+        *keys,
+        "_slice",
+        *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums],
+        *[F.max(f"_{n}").over(earlier).alias(f"_{n}") for n in maxima],
+    ).where(F.coalesce(*[F.col(v).cast("string") for v in values]).isNotNull())
+    # The value carried into a slice becomes its first row: no join, one shuffle of the rows.
+    stacked = rows.withColumn("_is_row", F.lit(1)).unionByName(
+        carry.withColumn("_is_row", F.lit(0)), allowMissingColumns=True
     )
-    same = F.col("_slice") == F.col("_key_slice")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_is_row", *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(carry, same).withColumns(
-        {n: F.col(f"_carry_{n}") + F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}
-        | {n: F.greatest(f"_carry_{n}", F.max(c).over(before)) for n, c in maxima.items()}
+    out = stacked.withColumns(
+        {n: F.coalesce(F.sum(f"_{n}").over(upto), F.lit(0)) for n in sums}
+        | {n: F.max(f"_{n}").over(before) for n in maxima}
     )
-    return out.select(*df.columns, *sums, *maxima)
+    return out.where("_is_row = 1").select(*df.columns, *sums, *maxima)
 
 
 def ranked(

@@ -67,8 +67,23 @@ def test_limiter_passes_rows_without_key(spark):
     assert [r.allowed for r in limits.rate_limit(df, "k", points=1).collect()] == [True] * 3
 
 
+@pytest.fixture
+def many_slices(spark):
+    """Keep small range partitions apart, so that one key really spans several slices."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_a_hot_key_is_cut_into_slices(spark, many_slices):
+    df = spark.range(8000).select(F.lit("hot").alias("k"), "id")
+    slices = spread._sliced(df, ["k"], [F.col("id")]).groupBy("_slice").count().collect()
+    assert len(slices) == 8 and max(r["count"] for r in slices) < 3000
+
+
 @pytest.mark.parametrize("spread_of_keys", ["a", "aaaaaaab", "abcdefgh"])
-def test_ranked_equals_window(spark, spread_of_keys):
+def test_ranked_equals_window(spark, many_slices, spread_of_keys):
     rnd = random.Random(7)
     rows = [(rnd.choice(spread_of_keys), rnd.randrange(20), i) for i in range(900)]
     df = spark.createDataFrame(rows, "k STRING, t INT, id BIGINT").repartition(7)
@@ -78,7 +93,7 @@ def test_ranked_equals_window(spark, spread_of_keys):
     assert tuples(got) == tuples(expected)
 
 
-def test_running_sum_and_maximum(spark):
+def test_running_sum_and_maximum(spark, many_slices):
     rnd = random.Random(8)
     rows = [(rnd.choice(["a", "a", "a", None]), i, rnd.randrange(-5, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "k STRING, t BIGINT, v BIGINT")
