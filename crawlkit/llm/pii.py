@@ -211,3 +211,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", undo: bool = Fal
     new = F.zip_with(pieces(F.col("t"), ANY), "all", lambda gap, v: F.concat(gap, F.coalesce(v.new, F.lit(""))))
     text_out = F.when(F.size("all") > 0, F.array_join(new, "")).otherwise(F.col("t"))
     return unpacked(found, **{text: text_out, "pii": F.filter("all", lambda v: v.kind.isNotNull())})
+
+
+def of_kind(values: str, kind: str) -> Column:
+    return F.filter(values, lambda v: v.kind == kind)

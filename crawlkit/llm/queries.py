@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlkit.llm import chat, pii, secrets, shards
+from crawlkit.llm import chat, minhash, pii, secrets, shards, winnow
 from crawlkit.llm.common import hex_digest, table
 
 #: In production the key comes from a vault; this one belongs to the test tables.
@@ -19,6 +19,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(docs, ratios))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -42,6 +47,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return winnow.report(winnow.contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = shards.shard(docs, SHARDS)
@@ -61,11 +71,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, PII_KEY).select(
         "doc_id",
         "text",
-        *[F.size(F.filter("pii", lambda v, k=k: v.kind == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        *[F.size(pii.of_kind("pii", k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_chat, op7_shards, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_minhash, op4_chat, op5_winnow, op7_shards, op9_pii)}
 
 OP4_SQL = r"""
 WITH rows AS (

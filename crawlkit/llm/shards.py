@@ -26,10 +26,17 @@ def row_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 8
 
 
-def shuffled_buckets(df: DataFrame, text: str = "text", seed: int = 0, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """(bucket, pos, row): each bucket in random order, written to the scratch folder."""
+#: Up to so many rows of 16 bytes each are broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def bucket_count(df: DataFrame, text: str, bucket_bytes: int) -> int:
     total = df.agg(F.sum(row_size(F.col(text)))).first()[0] or 0
-    n_buckets = max(1, math.ceil(total / bucket_bytes))
+    return max(1, math.ceil(total / bucket_bytes))
+
+
+def shuffled_buckets(df: DataFrame, n_buckets: int, seed: int = 0) -> DataFrame:
+    """(bucket, pos, row): each bucket in random order, written to the scratch folder."""
     placed = packed(df).withColumn("at", F.monotonically_increasing_id())
     scattered = placed.select(
         F.pmod(F.xxhash64(F.lit(seed), "at"), F.lit(n_buckets)).alias("bucket"), F.struct("at", "row").alias("item")
@@ -49,12 +56,15 @@ def shard(
     repeated rows stay repeated, an empty table gives no rows; columns called ``shard`` or
     ``slot`` are replaced. Columns must be of types that can be ordered.
     """
-    buckets = shuffled_buckets(df, text, seed, bucket_bytes)
+    n_buckets = bucket_count(df, text, bucket_bytes)
+    buckets = shuffled_buckets(df, n_buckets, seed)
     # One row per bucket: total bytes / bucket_bytes rows in this window.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.groupBy("bucket").count().select(
         "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")
     )
+    if n_buckets <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     placed = buckets.join(starts, "bucket").withColumn("place", F.col("start") + F.col("pos"))
     return unpacked(
         placed,
