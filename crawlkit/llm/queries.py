@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlkit.llm import chat, minhash, pii, secrets, shards, winnow
+from crawlkit.llm import bpe, chat, minhash, pii, secrets, shards, winnow
 from crawlkit.llm.common import hex_digest, table
 
 #: In production the key comes from a vault; this one belongs to the test tables.
 PII_KEY = "key of the test tables"
 SHARDS = 24
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,17 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        hex_digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        hex_digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymize(docs, PII_KEY).select(
@@ -75,7 +88,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_minhash, op4_chat, op5_winnow, op7_shards, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_minhash, op4_chat, op5_winnow, op7_shards, op8_bpe, op9_pii)}
 
 OP4_SQL = r"""
 WITH rows AS (
