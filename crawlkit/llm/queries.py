@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlkit.llm import bpe, chat, minhash, pii, secrets, shards, winnow
-from crawlkit.llm.common import hex_digest, table
+from crawlkit.llm import bpe, chat, fertility, minhash, pii, secrets, shards, winnow
+from crawlkit.llm.common import hex_digest, table, written
 
 #: In production the key comes from a vault; this one belongs to the test tables.
 PII_KEY = "key of the test tables"
 SHARDS = 24
+#: Vocabularies that measure fertility: path, split pattern, path.
+FERTILITY = (
+    public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+    public_tokenizers.PATTERN,
+    public_tokenizers.path("piece_bpe_32k.model"),
+)
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -21,6 +27,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(docs, ratios))
 
 
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = written(fertility.measure(docs, *FERTILITY).select("doc_id", "lang", "m"), "fertility")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    more = ("n_tokens", "per_token", "fallback", "entropy")
+    return fertility.judge(measured).select("doc_id", *[f"m.{c}" for c in counts], "base_failed", "kept", *[f"m.{c}" for c in more])
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -88,7 +102,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_minhash, op4_chat, op5_winnow, op7_shards, op8_bpe, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_fertility, op3_minhash, op4_chat, op5_winnow, op7_shards, op8_bpe, op9_pii)}
 
 OP4_SQL = r"""
 WITH rows AS (
