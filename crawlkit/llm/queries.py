@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlkit.llm import bpe, chat, fertility, minhash, pii, secrets, shards, winnow
+from crawlkit.llm import bpe, chat, fertility, minhash, pii, secrets, shards, suffix, winnow
 from crawlkit.llm.common import hex_digest, table, written
 
 #: In production the key comes from a vault; this one belongs to the test tables.
@@ -102,7 +102,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_fertility, op3_minhash, op4_chat, op5_winnow, op7_shards, op8_bpe, op9_pii)}
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
+    return suffix.remove_repeats(docs).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_fertility, op3_minhash, op4_chat, op5_winnow, op7_shards, op8_bpe, op9_pii, op10_suffix)}
 
 OP4_SQL = r"""
 WITH rows AS (
