@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlkit.llm import bpe, chat, fertility, minhash, pii, secrets, shards, suffix, winnow
+from crawlkit.llm import bpe, chat, cotrain, fertility, minhash, pii, secrets, shards, suffix, winnow
 from crawlkit.llm.common import hex_digest, table, written
 
 #: In production the key comes from a vault; this one belongs to the test tables.
@@ -68,6 +68,12 @@ def op5_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.report(winnow.contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op6_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = cotrain.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "page_score", "quality_score", "good")
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = shards.shard(docs, SHARDS)
@@ -114,7 +120,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_fertility, op3_minhash, op4_chat, op5_winnow, op7_shards, op8_bpe, op9_pii, op10_suffix)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secrets, op2_fertility, op3_minhash, op4_chat, op5_winnow, op6_cotrain, op7_shards, op8_bpe, op9_pii, op10_suffix)
+}
 
 OP4_SQL = r"""
 WITH rows AS (
