@@ -15,9 +15,9 @@ Pieces repeat, so a worker remembers merged pieces in two generations of bounded
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,15 @@ from crawlkit.llm.common import packed, unpacked
 
 _NONE = 1 << 62
 #: Pieces remembered in each generation, and their longest length.
-GENERATION = 150_000
+GENERATION = 250_000
 _LONG = 64
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how the vocabulary's file splits text.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
+#: The same split for ASCII text in lower case.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+")
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -48,6 +51,26 @@ def lowered(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+class _Remembered(dict):
+    """Ids of pieces as bytes. A miss asks the older generation, then the merges."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.older = merge, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.merge(piece), np.int32).tobytes()
+            if len(piece) > _LONG:
+                return ids
+        if len(self) >= GENERATION:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -66,8 +89,7 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         by_id = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
         self.tokens = np.array([by_id.get(i, "") for i in range(max(by_id) + 1)], dtype=object)
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.remembered = _Remembered(self.merge)
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece, by the segment tree."""
@@ -88,66 +110,54 @@ class Bpe:
             a, b = tree[2 * node], tree[2 * node + 1]
             tree[node] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, key: int) -> None:
-            node = size + i
-            tree[node] = key
-            node >>= 1
-            while node:
-                a, b = tree[2 * node], tree[2 * node + 1]
-                least = a if a < b else b
-                if tree[node] == least:
-                    return
-                tree[node] = least
-                node >>= 1
-
-        while tree[1] != _NONE:
-            i = tree[1] % n
+        get = pairs.get
+        while (root := tree[1]) != _NONE:
+            i = root % n
             gone = after[i]
-            ids[i] = pairs[ids[i], ids[gone]][1]
-            right = after[i] = after[gone]
+            new = ids[i] = pairs[ids[i], ids[gone]][1]
             ids[gone] = -1
-            if gone < n - 1:
-                put(gone, _NONE)
+            right = after[i] = after[gone]
+            left = before[i]
+            found = None
             if right < n:
                 before[right] = i
-            found = pairs.get((ids[i], ids[right])) if right < n else None
-            put(i, found[0] * n + i if found else _NONE)
-            left = before[i]
+                found = get((new, ids[right]))
+            leaves = [(i, found[0] * n + i if found else _NONE)]
+            if gone < n - 1:
+                leaves.append((gone, _NONE))
             if left >= 0:
-                found = pairs.get((ids[left], ids[i]))
-                put(left, found[0] * n + left if found else _NONE)
+                found = get((ids[left], new))
+                leaves.append((left, found[0] * n + left if found else _NONE))
+            for at, key in leaves:
+                node = size + at
+                tree[node] = key
+                node >>= 1
+                while node:
+                    a, b = tree[2 * node], tree[2 * node + 1]
+                    if b < a:
+                        a = b
+                    if tree[node] == a:
+                        break
+                    tree[node] = a
+                    node >>= 1
         return tuple(x for x in ids if x >= 0)
 
-    def __getitem__(self, piece: str) -> tuple[int, ...]:
-        ids = self.young.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is None:
-                ids = self.merge(piece)
-                if len(piece) > _LONG:
-                    return ids
-            if len(self.young) >= GENERATION:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
-
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return PIECES.findall(lowered(text))
+        if text.isascii():
+            return ASCII_PIECES.findall(text.lower())
+        return PIECES.findall(lowered(unicodedata.normalize("NFC", text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        parts = self.cut.split(text) if self.cut else [text]
-        ids: list[int] = []
+        parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
+        ids = []
         for i, part in enumerate(parts):
             if i % 2:
-                ids.append(self.special[part])
+                ids.append(np.int32(self.special[part]).tobytes())
             else:
-                ids.extend(chain.from_iterable(map(self.__getitem__, self._plain(part))))
-        return np.array(ids, np.int32)
+                ids += map(self.remembered.__getitem__, self._plain(part))
+        return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens as the vocabulary writes them, a space between; unknown ids are left out."""

@@ -79,4 +79,4 @@ def test_generations_are_bounded(monkeypatch):
     model = bpe.Bpe(PATH)
     text = " ".join(f"w{i}x" for i in range(200))
     assert model.encode(text + " " + text).tolist() == expect(text + " " + text)[0]
-    assert len(model.young) <= 10 and len(model.old) <= 10
+    assert len(model.remembered) <= 10 and len(model.remembered.older) <= 10
