@@ -8,6 +8,10 @@ link of similarity 0.75 is missed with a chance of about 1e-7).
 - *Prefix*: pairs are ordered from rare to frequent. Nodes with that many agreements
   share one of their first ``64 - MATCHES + 1`` pairs, so only those are joined. Pairs
   that only one node has still fill the prefix, hence most documents post nothing.
+- *Bound*: a node of which over a quarter is its own posts nothing. Shingles of exactly two
+  nodes name their pair themselves, and are counted per pair. All other pairs have no
+  more in common than the smaller count of shingles that three nodes or more have; a
+  pair is only made if that could reach the threshold for both sizes.
 - *Skip*: a posting list inside one component is passed over as a whole. Star rounds
   compare every component with one leader per list, and contract; only what is left is
   joined list by list, and only across components. Groups of near copies therefore
@@ -24,7 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlkit.llm.common import packed, unpacked, written
@@ -36,7 +40,7 @@ PERCENT = 75
 COORDINATES = 64
 #: Least agreements of a candidate pair.
 MATCHES = 30
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 _BLOCK = 4096
 
 
@@ -94,11 +98,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame
     side = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     other = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
-    near = (
-        pairs.join(side, "a").join(other, "b")
-        .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        .where(agree >= MATCHES).select("a", "b", "n_a", "n_b")
-    )
+    near = pairs.join(side, "a").join(other, "b").where(agree >= MATCHES).select("a", "b", "n_a", "n_b")
     near = written(near, "near")
     full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
@@ -107,8 +107,27 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame
     return written(common.where(100 * F.col("c") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b"), "links")
 
 
+def _shared(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per node (n, shared, common): its shingles, those of two candidates or more, of three or more;
+    and per pair (a, b, both) the shingles that only these two have."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    lists = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("node").alias("a"), F.max("node").alias("b"))
+    few = written(lists.where("f < 3").groupBy("a", "b").agg(F.count("*").alias("both")), "few")
+    own = few.where("a = b").select(F.col("a").alias("node"), F.col("both").alias("own"))
+    pairs = few.where("a < b")
+    two = pairs.select(F.explode(F.array("a", "b")).alias("node"), "both").groupBy("node").agg(F.sum("both").alias("two"))
+    sizes = sets.select("node", F.size("shingles").cast("bigint").alias("n")).join(own, "node", "left").join(two, "node", "left")
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    return sizes.select("node", "n", shared.alias("shared"), (shared - F.coalesce("two", F.lit(0))).alias("common")), pairs
+
+
+def _possible(n: Column, shared: Column, n_b: Column, shared_b: Column) -> Column:
+    """Whether c common shingles, c the smaller shared count, could give c / (n + n_b - c) >= PERCENT / 100."""
+    return (100 + PERCENT) * F.least(shared, shared_b) >= PERCENT * (n + n_b)
+
+
 def _open_lists(posts: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Posts (v, node, comp) of the lists that still hold more than one component."""
+    """Posts (v, node, n, shared, common, comp) of the lists that still hold more than one component."""
     if comps is None:
         placed = posts.withColumn("comp", F.col("node"))
     else:
@@ -118,14 +137,40 @@ def _open_lists(posts: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _star(lists: DataFrame, salt: int) -> DataFrame:
-    """For each component the pair (a, b) of one of its nodes and a list's leader that collides most."""
-    leader = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "comp")).alias("l"))
-    met = lists.join(leader, "v").where(F.col("comp") != F.col("l.comp"))
+    """For each component the pair (a, b) of one of its nodes and a list's leader that collides most.
+
+    The first leaders are the nodes with the least of their own, which copies are made of;
+    later ones are drawn by a hash.
+    """
+    first = F.when(F.lit(salt == 0), (F.col("n") - F.col("shared")) / F.col("n")).otherwise(0.0)
+    order = F.struct(first.alias("own"), F.xxhash64("node", F.lit(salt)).alias("h"), "node", "comp", "n", "shared")
+    leader = lists.groupBy("v").agg(F.min(order).alias("l"))
+    met = lists.join(leader, "v").where(
+        (F.col("comp") != F.col("l.comp")) & _possible(F.col("n"), F.col("shared"), F.col("l.n"), F.col("l.shared"))
+    )
     counted = met.groupBy("comp", F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("hits"))
     best = counted.groupBy("comp").agg(F.max(F.struct("hits", "a", "b")).alias("m"))
     return best.select(F.least("m.a", "m.b").alias("a"), F.greatest("m.a", "m.b").alias("b")).distinct()
 
 
+def _across(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a list, lie in different components and may be linked by common shingles."""
+    other = lists.select("v", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "common")])
+    pairs = lists.join(other, "v").where(
+        (F.col("comp") < F.col("comp_b")) & _possible(*[F.col(c) for c in ("n", "common", "n_b", "common_b")])
+    )
+    return pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+
+
+def _by_two(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be linked with the shingles that only they have."""
+    a = sizes.select(F.col("node").alias("a"), "n", "common")
+    b = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
+    both = pairs.join(a, "a").join(b, "b")
+    more = [F.col(c) + F.col("both") for c in ("common", "common_b")]
+    return both.where(_possible(F.col("n"), more[0], F.col("n_b"), more[1])).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with ``n_shingles``, ``component_id``, ``kept`` and ``first``.
 
@@ -158,6 +203,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = posts.select("node").distinct()
     texts = rows.select(F.col("rid").alias("node"), "t").join(wanted, "node")
     sets = written(texts.select("node", F.arrow_udf(_sets, "array<bigint>")("t").alias("shingles")), "sets")
+    sizes, pairs = _shared(sets)
+    sizes = written(sizes, "sizes")
+    by_two = written(_by_two(pairs, sizes), "by-two")
+    posts = written(posts.join(sizes.where(100 * F.col("shared") >= PERCENT * F.col("n")), "node"), "posts")
 
     links, comps = None, None
     for round_ in range(STAR_ROUNDS + 1):
@@ -165,10 +214,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if round_ < STAR_ROUNDS:
             pairs = _star(lists, round_)
         else:
-            other = lists.select("v", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = lists.join(other, "v").where("comp < comp_b").groupBy(
-                F.least("node", "b").alias("a"), F.greatest("node", "b").alias("c")
-            ).agg(F.count("*").alias("hits")).select("a", F.col("c").alias("b"))
+            end = comps.select(F.col("node").alias("a"), F.col("comp").alias("x"))
+            other = comps.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+            apart = by_two.join(end, "a", "left").join(other, "b", "left").where("x is null or y is null or x <> y")
+            pairs = _across(lists).unionByName(apart.select("a", "b")).distinct()
         found = _confirmed(pairs, nodes, sets)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
