@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlkit.llm.common import hex_digest, let, matches, packed, pieces, unpacked
+from crawlkit.llm.common import hex_digest, let, matches, packed, pieces, unpacked, written
 
 # The rules of the contract, in its order.
 ASSIGN = (
@@ -33,6 +33,9 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
+#: Weight of the single characters in the ordinary model, as a share of all its steps: a
+#: character that words rarely hold has a row of its own only from wrongly labelled samples.
+BACK_OFF = 0.01
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
@@ -103,10 +106,22 @@ def _steps(value: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratio (random over ordinary) of each cell.
+    """Log-likelihood ratio (random over ordinary) of each cell, trained twice.
 
-    The random model is mixed half and half with a uniform one, the ordinary model has
-    one added to each count. Without random samples the uniform half remains; without
+    Texts hold random strings that no rule caught, so some ordinary samples carry the
+    wrong label: those that the first models take for random are left out of the second.
+    """
+    labelled = written(labelled, "samples")
+    first = _fit(labelled)
+    return _fit(labelled.where(F.col("random") | (score(F.col("value"), first) <= 0)))
+
+
+def _fit(labelled: DataFrame) -> list[float]:
+    """Both models from the counts of their samples.
+
+    The random model is mixed half and half with a uniform one. The ordinary model backs
+    off to how often a character occurs at all, so characters that words rarely hold
+    count for the other side. Without random samples the uniform half remains; without
     ordinary samples all ratios are near 0 and nothing is found.
     """
     cells = labelled.select("random", F.explode(_steps(F.col("value"))).alias("cell"))
@@ -114,13 +129,16 @@ def train(labelled: DataFrame) -> list[float]:
     for row in cells.groupBy("random", "cell").count().collect():  # at most 2 * WIDTH^2 rows
         counts[row["random"]][row["cell"]] = row["count"]
     ratios = []
+    seen = {k: [[counts[k].get(a * WIDTH + b, 0) for b in range(WIDTH)] for a in range(WIDTH)] for k in counts}
+    words = seen[False]
+    alone = [1 + sum(row[b] for row in words) for b in range(WIDTH)]
+    every = sum(alone)
     for a in range(WIDTH):
-        of = {k: [counts[k].get(a * WIDTH + b, 0) for b in range(WIDTH)] for k in counts}
-        total = {k: sum(v) for k, v in of.items()}
+        total = {k: sum(seen[k][a]) for k in seen}
         for b in range(WIDTH):
-            seen = of[True][b] / total[True] if total[True] else 1 / WIDTH
-            random = 0.5 * seen + 0.5 / WIDTH
-            ordinary = (of[False][b] + 1) / (total[False] + WIDTH)
+            drawn = seen[True][a][b] / total[True] if total[True] else 1 / WIDTH
+            random = 0.5 * drawn + 0.5 / WIDTH
+            ordinary = (words[a][b] + BACK_OFF * alone[b]) / (total[False] + BACK_OFF * every)
             ratios.append(round(math.log(random / ordinary), 4))
     return ratios
 
