@@ -35,6 +35,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` once everything read from them is itself written."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsc.hadoopConfiguration()
+        for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def hex_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -48,4 +58,4 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-__all__ = ["SPACES", "hex_digest", "let", "matches", "packed", "pieces", "scratch", "table", "unpacked", "written"]
+__all__ = ["SPACES", "discard", "hex_digest", "let", "matches", "packed", "pieces", "scratch", "table", "unpacked", "written"]

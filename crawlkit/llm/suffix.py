@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlkit.llm.common import packed, unpacked, written
+from crawlkit.llm.common import discard, packed, unpacked, written
 
 LENGTH = 400
 GRAM = 16
@@ -227,43 +227,59 @@ def _entries(named: pa.Array) -> pa.Array:
     return _structs(ENTRIES, out)
 
 
-def _common(a_sym: list, a_len: list, b_sym: list, b_len: list) -> int:
-    """Bytes of the common chunks; FAR if one side ends in agreement at its bound."""
-    n = 0
-    for x, y in zip(a_sym, b_sym, strict=False):
-        if x != y:
-            return sum(a_len[:n])
-        n += 1
-    reached = sum(a_len[:n])
-    return FAR if reached >= LENGTH or n >= DEPTH else reached
+def _common(sym: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes of the common chunks of two suffixes each; FAR if they agree up to the bound.
+
+    ``a`` and ``b`` have a row (start, end) per suffix, into the flat ``sym`` and ``size``.
+    """
+    reached = np.zeros(len(a), np.int64)
+    alive = np.arange(len(a))
+    for k in range(DEPTH):
+        alive = alive[(a[alive, 0] + k < a[alive, 1]) & (b[alive, 0] + k < b[alive, 1])]
+        alive = alive[sym[a[alive, 0] + k] == sym[b[alive, 0] + k]]
+        reached[alive] += size[a[alive, 0] + k]
+    reached[alive] = FAR
+    return np.where(reached >= LENGTH, FAR, reached)
+
+
+def _flat(sym: pa.Array, size: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat symbols and sizes of two list arrays, and (start, end) of each row."""
+    ends = np.cumsum(sym.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    bounds = np.column_stack([np.concatenate([[0], ends[:-1]]), ends]).astype(np.int64)
+    return sym.flatten().to_numpy(), size.flatten().to_numpy(), bounds
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reach of each sorted entry next to its neighbours; first and last also as edges."""
+    lists = [pa.list_(pa.int64()), pa.list_(pa.int32())]
     schema = pa.schema(
         [("rid", pa.int64()), ("pos", pa.int32()), ("reach", pa.int32()), ("edge", pa.int32()), ("part", pa.int32()),
-         ("sym", pa.list_(pa.int64())), ("len", pa.list_(pa.int32()))]
+         ("sym", lists[0]), ("len", lists[1])]
     )
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    def made(rows: pa.RecordBatch, reach: np.ndarray, edge: int | None) -> pa.RecordBatch:
+        n = rows.num_rows
+        kept = [rows["sym"], rows["len"]] if edge is not None else [pa.nulls(n, t) for t in lists]
+        numbers = [pa.array(reach, pa.int32()), pa.array([edge] * n, pa.int32())]
+        return pa.RecordBatch.from_arrays([rows["rid"], rows["pos"], *numbers, rows["part"], *kept], schema=schema)
 
-    before, reach = None, 0
+    before = None  # the last row, whose next neighbour is not known yet
     for batch in batches:
-        out = []
-        for row in zip(*[batch.column(c).to_pylist() for c in ("rid", "pos", "part", "sym", "len")], strict=True):
-            rid, pos, part, sym, size = row
-            if before is None:
-                out.append((rid, pos, 0, 0, part, sym, size))
-                met = 0
-            else:
-                met = _common(before[3], before[4], sym, size)
-                out.append((before[0], before[1], max(reach, met), None, part, None, None))
-            before, reach = row, met
-        if out:
-            yield made(out)
+        if not batch.num_rows:
+            continue
+        if before is None:
+            yield made(batch.slice(0, 1), np.zeros(1), 0)
+            rows, reach_before = batch, 0
+        else:
+            rows = pa.concat_batches([before, batch])
+        sym, size, bounds = _flat(rows["sym"], rows["len"])
+        met = _common(sym, size, bounds[:-1], bounds[1:])
+        each = np.maximum(np.concatenate([[reach_before], met]), np.concatenate([met, [0]]))
+        yield made(rows.slice(0, rows.num_rows - 1), each[:-1], None)
+        before, reach_before = rows.slice(rows.num_rows - 1), each[-1]
     if before is not None:
-        yield made([(before[0], before[1], reach, None, before[2], None, None), (before[0], before[1], 0, 1, *before[2:])])
+        yield made(before, np.array([reach_before]), None)
+        yield made(before, np.zeros(1), 1)
 
 
 def _edges(sorted_rows: DataFrame) -> DataFrame:
@@ -272,9 +288,10 @@ def _edges(sorted_rows: DataFrame) -> DataFrame:
     edges = sorted_rows.where("edge is not null")
     pairs = edges.select("rid", "pos", "sym", "len", *[F.lag(c).over(order).alias(f"{c}_0") for c in ("rid", "pos", "sym", "len")])
 
-    def met(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        rows = zip(*[x.to_pylist() for x in (a, b, c, d)], strict=True)
-        return pa.array([_common(*r) for r in rows], pa.int32())
+    def met(*sides: pa.Array) -> pa.Array:
+        (sym, size, a), (other, other_size, b) = _flat(*sides[:2]), _flat(*sides[2:])
+        both, sizes = np.concatenate([sym, other]), np.concatenate([size, other_size])
+        return pa.array(_common(both, sizes, a, b + len(sym)), pa.int32())
 
     known = pairs.where(F.col("rid_0").isNotNull()).withColumn("reach", F.arrow_udf(met, "int")("sym_0", "len_0", "sym", "len"))
     return known.select("rid", "pos", "reach").unionByName(known.select(F.col("rid_0").alias("rid"), F.col("pos_0").alias("pos"), "reach"))
@@ -300,15 +317,16 @@ def reaches(symbols: DataFrame) -> DataFrame:
     by_text = named.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("run", "i", "pos", "len", "sym", "name"))).alias("named"))
     entries = written(by_text.select("rid", F.inline(F.arrow_udf(_entries, ENTRIES)("named"))), "entries")
     chains = entries.where("own <> 0").groupBy("own").agg(F.first("names").alias("names"))
-    ranks = _ranked(chains, ["names", "own"], "rank").select(F.col("own").alias("nh"), "rank")
+    ranks = _ranked(chains.withColumnRenamed("own", "nh"), ["names", "nh"], "rank")
 
-    keyed = entries.drop("own", "names").join(ranks, "nh", "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
+    keyed = entries.drop("own", "names").join(ranks.select("nh", "rank"), "nh", "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
     keys = ["list", "k1", "k2", "rank", "rid", "pos"]
     in_order = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     met = in_order.select("rid", "pos", F.spark_partition_id().alias("part"), "sym", "len").mapInArrow(
         _neighbours, "rid bigint, pos int, reach int, edge int, part int, sym array<bigint>, len array<int>"
     )
     met = written(met, "reach")
+    discard(runs, names, entries, ranks)
     both = met.where("edge is null").select("rid", "pos", "reach").unionByName(_edges(met))
     return both.groupBy("rid", "pos").agg(F.max("reach").alias("reach")).where("reach > 0")
 
@@ -410,6 +428,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     core_again = _repeated(cells, "k1").withColumn("some", F.lit(True))
     judged = cells.join(core_again, "k1").join(whole_again, ["f1", "f2"], "left")
     judged = written(judged.withColumn("again", F.coalesce("again", F.lit(False))), "judged")
+    discard(cells)
 
     # The strings of an open cell may recur in cells that are repeated as a whole: one of each is a witness.
     undecided = judged.where("not again")
@@ -423,10 +442,12 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     found = judged.where("again").select("rid", "first", "last").unionByName(single)
     by_text = found.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    cut = texts.join(by_text, "rid").select("rid", F.arrow_udf(_cut, RESULT)("t", "found").alias("cut"))
+    cut = written(texts.join(by_text, "rid").select("rid", F.arrow_udf(_cut, RESULT)("t", "found").alias("cut")), "cut")
+    discard(judged, strings)
     # A text with copies goes as a whole, and all of its rows with it.
     many = equal.where("copies > 1").select("hi", "lo", F.lit(True).alias("many"))
-    joined = rows.select("rid", "row", "n", "hi", "lo").join(many, ["hi", "lo"], "left").join(cut, "rid", "left")
+    marks = rows.select("rid", "hi", "lo").join(many, ["hi", "lo"]).select("rid", "many").join(cut, "rid", "full_outer")
+    joined = rows.select("rid", "row", "n").join(marks, "rid", "left")
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
     gone = F.coalesce("many", F.lit(False))
