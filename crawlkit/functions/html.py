@@ -24,7 +24,8 @@ _RAW_TEXT = (
     + _REST
     + r".*?(?:</\1(?=[\s/>])|\z)"
 )
-_OTHER_TAG = r"[a-z/!?]" + _REST
+#: A tag that never closes takes the rest of the page, so the rest is read once.
+_OTHER_TAG = r"[a-z/!?]" + _REST.removesuffix(">") + r"(?:>|\z)"
 _ATTRIBUTE_BEFORE_HREF = (
     r"(?:[\s/]*+(?!href[\s=/>])[^\s=/>]++(?:\s*+=\s*+" + _VALUE + r")?+)*+"
 )

@@ -57,12 +57,13 @@ def seen_result(
 ) -> DataFrame:
     """Add ``seen_result``: 1 new, 0 seen before, -1 where the look-up gave no answer.
 
-    Rows without an answer (``available`` false) do not mark their URL as seen.
+    Rows without an answer (``available`` false or NULL) do not mark their URL as seen.
     """
-    asked = candidates.where(F.col(available))
+    answered = F.coalesce(F.col(available), F.lit(False))
+    asked = candidates.where(answered)
     fresh = new_urls(asked.select("url", ts, id), seen, ts, id).select(id, F.lit(1).alias("_new"))
     return candidates.join(fresh, id, "left").withColumn(
-        "seen_result", F.when(~F.col(available), -1).otherwise(F.coalesce("_new", F.lit(0)))
+        "seen_result", F.when(~answered, -1).otherwise(F.coalesce("_new", F.lit(0)))
     ).drop("_new")
 
 

@@ -123,9 +123,10 @@ def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _group_numbers(frame: pd.DataFrame) -> np.ndarray:
-    key, part = frame["key"], frame["slice"]
-    changes = ((key != key.shift()) | (part != part.shift())).to_numpy()
-    return np.cumsum(changes) - 1
+    """Number of the (key, slice) group of each row; keys are compared in their own type."""
+    key, part = frame["key"].to_numpy(), frame["slice"].to_numpy()
+    changes = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    return np.concatenate([[0], np.cumsum(changes)])[: len(frame)]
 
 
 class _Line:

@@ -168,7 +168,10 @@ def gauge_at(transitions: DataFrame, step_us: int) -> DataFrame:
 
 
 def active_workers(log: DataFrame, bucket_us: int) -> DataFrame:
-    """Fetches in flight per domain at the end of every time bucket with a change."""
+    """Fetches in flight per domain at the end of every time bucket with a change.
+
+    A fetch without a latency has not ended: it counts from its start on.
+    """
     start = micros(F.col("ts"))
     end = start + (F.col("latency_ms") * 1000).cast("bigint")
     moves = log.select(
@@ -179,7 +182,7 @@ def active_workers(log: DataFrame, bucket_us: int) -> DataFrame:
                 F.struct(end.alias("us"), F.lit(-1).cast("bigint").alias("delta")),
             )
         ).alias("m"),
-    )
+    ).where("m.us is not null")
     bucket = (F.col("m.us") - F.pmod(F.col("m.us"), F.lit(bucket_us))).alias("us")
     buckets = moves.groupBy("domain", bucket).agg(F.sum("m.delta").alias("delta"))
     return running(buckets, ["domain"], [F.col("us")], {"in_flight": F.col("delta")}).select(
@@ -191,9 +194,9 @@ def latency_summary(calls: DataFrame, latency: str = "latency_ms", shares=(0.5,
     """Count, rate, maximum and exact percentiles (smallest value covering the share).
 
     Percentiles are read off the running count over distinct latencies, so no task ever
-    holds the whole column.
+    holds the whole column. Calls without a latency count in the rate only.
     """
-    per_value = calls.groupBy(F.col(latency).alias("v")).agg(F.count("*").alias("n"))
+    per_value = calls.where(F.col(latency).isNotNull()).groupBy(F.col(latency).alias("v")).agg(F.count("*").alias("n"))
     cumulative = running(per_value, [], [F.col("v")], {"upto": F.col("n")})
     us = micros(F.col("ts"))
     base = calls.agg(
@@ -261,12 +264,12 @@ def alert_openings(windows: DataFrame, cooldown_ms: int = 10_000) -> DataFrame:
 def reconcile(accepted: DataFrame, jobs: DataFrame) -> DataFrame:
     """Both sides of the ledger by job id: accounted, lost, or a job nobody asked for."""
     a = accepted.select(F.col("job_id"), F.lit(True).alias("was_accepted"))
-    j = jobs.select("job_id", "state")
+    j = jobs.select("job_id", "state", F.lit(True).alias("has_job"))
     return a.join(j, "job_id", "full_outer").select(
         "job_id",
         "state",
         F.when(F.col("was_accepted").isNull(), "unrequested")
-        .when(F.col("state").isNull(), "lost")
+        .when(F.col("has_job").isNull(), "lost")
         .otherwise("accounted")
         .alias("verdict"),
     )

@@ -8,7 +8,7 @@ LOG = (
     " msBeforeNext BIGINT, error STRING, hash STRING, pageTitle STRING, count BIGINT,"
     " parentUrl STRING, workerId STRING, _corrupt_record STRING"
 )
-STORED_PAGE = "url_hash STRING, url STRING, html STRING, version BIGINT, batch BIGINT, shard1 STRING"
+STORED_PAGE = "url_hash STRING, url STRING, html STRING, version BIGINT, run STRING, batch BIGINT, shard1 STRING"
 INGEST = "id STRING, ts TIMESTAMP_NTZ, url STRING"
 EVENT = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE,"

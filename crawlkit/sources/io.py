@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlkit import schemas
-from crawlkit.functions.urls import form_url, request_url
+from crawlkit.functions.urls import form_url, request_url, url_hash
 
 
 def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -26,8 +26,8 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seed_frontier(seeds: DataFrame, ts: Column) -> DataFrame:
-    """Seed URLs as ingest rows, for one append."""
-    return seeds.select("url", ts.alias("ts"))
+    """Seed URLs as ingest rows (``id, ts, url``), for one append; the id follows from the URL."""
+    return seeds.select(F.concat(F.lit("seed#"), url_hash(F.col("url"))).alias("id"), ts.alias("ts"), "url")
 
 
 def append_ingest(df: DataFrame, path: str) -> None:

@@ -32,10 +32,13 @@ def store_layout(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_html_store(pages: DataFrame, path: str, batch: int = 0, digits: int = 2) -> None:
-    """Store ``url, html, version`` rows under ``batch=n/shard1=ab``, sorted by hash.
+def write_html_store(
+    pages: DataFrame, path: str, batch: int, digits: int = 2, run: str = "", replay: bool = False
+) -> None:
+    """Store ``url, html, version`` rows under ``run=r/batch=n/shard1=ab``, sorted by hash.
 
-    Writing a batch number again replaces that batch.
+    A batch that is there already is an error; only a ``replay`` of it replaces it. Other
+    batches and runs are never touched.
 
     Hashes are uniform, so their first ``digits`` hex digits (16^digits groups) give even
     tasks without sampling: 2 suits gigabytes, 4 suits 100 TB.
@@ -45,9 +48,9 @@ def write_html_store(pages: DataFrame, path: str, batch: int = 0, digits: int =
         laid_out.select("url_hash", "url", "html", F.col("version").cast("bigint"), "shard1")
         .repartition(F.substring("url_hash", 1, digits))
         .sortWithinPartitions("shard1", "url_hash")
-        .write.mode("overwrite")
+        .write.mode("overwrite" if replay else "error")
         .partitionBy("shard1")
-        .parquet(f"{path}/batch={batch}")
+        .parquet(f"{path}/run={run or 'none'}/batch={batch}")
     )
 
 
@@ -59,10 +62,10 @@ def read_html_store(spark: SparkSession, path: str, url: str | None = None) -> D
         stored = stored.where(
             (F.col("shard1") == F.substring(hashed, 1, 2)) & (F.col("url_hash") == hashed)
         )
-    newest = latest_pages(stored.withColumn("at", F.struct("version", "batch")), "url_hash", "at")
-    return newest.drop("at", "batch", "shard1")
+    newest = latest_pages(stored.withColumn("at", F.struct("version", "run", "batch")), "url_hash", "at")
+    return newest.drop("at", "run", "batch", "shard1")
 
 
 def compact_html_store(spark: SparkSession, path: str, target: str, digits: int = 2) -> None:
     """Write the newest version of every page to a new store."""
-    write_html_store(read_html_store(spark, path), target, digits=digits)
+    write_html_store(read_html_store(spark, path), target, 0, digits)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +12,7 @@ from crawlkit.functions.urls import url_hash
 from crawlkit.operators.frontier import fetch_join
 from crawlkit.operators.graph import page_links
 from crawlkit.sources.store import write_html_store
+from crawlkit.streaming.run import run_id
 
 
 def crawl_stream(
@@ -17,23 +20,30 @@ def crawl_stream(
 ) -> StreamingQuery:
     """Fetch, store, extract links, and write them as new ingest files.
 
-    The loop closes through storage: point the ingest stream at ``ingest_path``. Each
-    micro-batch writes folders named by its number, so a replay replaces them.
+    The loop closes through storage: point the ingest stream at ``ingest_path``. URLs
+    without a page go to the table ``<store_path>-failed`` (``url, ts``), so accepted URLs are
+    stored or failed. Each micro-batch writes folders named by query and number, so a
+    replay replaces them and a new checkpoint leaves what is there. A page stored again
+    is newer by its time of writing.
     """
 
     def crawl(batch: DataFrame, batch_id: int) -> None:
         asked = batch.groupBy("url").agg(F.min("ts").alias("ts"))
-        fetched = fetch_join(asked, pages).where("status = 'success'")
-        fetched.persist()
-        stored = fetched.select("url", "html", F.lit(batch_id).alias("version"))
-        write_html_store(stored, store_path, batch_id)
+        joined = fetch_join(asked, pages)
+        joined.persist()
+        run = run_id(batch.sparkSession, checkpoint)
+        fetched = joined.where("status = 'success'")
+        failed = joined.where("status = 'failed'").select("url", "ts")
+        failed.write.mode("overwrite").parquet(f"{store_path}-failed/run={run}/batch={batch_id}")
+        stored = fetched.select("url", "html", F.lit(time.time_ns() // 1_000_000).alias("version"))
+        write_html_store(stored, store_path, batch_id, run=run, replay=True)
         discovered = page_links(fetched, only_http=True, keep=("ts",)).select(
             F.concat_ws("#", url_hash(F.col("url")), F.col("pos").cast("string")).alias("id"),
             "ts",
             F.col("resolved").alias("url"),
         )
-        discovered.write.mode("overwrite").parquet(f"{ingest_path}/batch={batch_id}")
-        fetched.unpersist()
+        discovered.write.mode("overwrite").parquet(f"{ingest_path}/batch={run}-{batch_id}")
+        joined.unpersist()
 
     return (
         frontier.writeStream.foreachBatch(crawl)

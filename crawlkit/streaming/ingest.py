@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from crawlkit import schemas
 from crawlkit.functions.times import with_watermark
 from crawlkit.operators.frontier import accepted, first_per_key
+from crawlkit.session import materialize
+from crawlkit.streaming.run import exists, run_id
 
 
 def ingest_stream(requests: DataFrame, within: str | None = None) -> DataFrame:
@@ -30,27 +32,28 @@ def ingest_stream_exact(
     """Route each micro-batch against all URLs accepted before it.
 
     ``requests`` needs ``id, ts, url``. The accepted table is also the seen table, so a
-    URL is marked and enqueued by one write. Batch folders make a replay idempotent:
-    batch n reads only folders below n and replaces its own.
+    URL is marked and enqueued by one write. Folders are named by query and batch, which
+    makes a replay idempotent: batch n reads all folders but its own and later ones of
+    the same query, and replaces its own. A new checkpoint is a new query, so it adds to
+    the table that is there. Rows are told apart by a key of their own, not by ``id``,
+    so ids may repeat or be NULL.
     """
 
     def route(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        candidates = accepted(batch).select("id", "ts", "url")
-        candidates.persist()
-        firsts = first_per_key(candidates, ["url"], [F.col("ts"), F.col("id")])
-        known = _accepted_before(spark, path, batch_id)
+        run = run_id(spark, checkpoint)
+        asked = accepted(batch).select("id", "ts", "url", F.monotonically_increasing_id().alias("row"))
+        candidates = materialize(asked, "candidates")
+        firsts = first_per_key(candidates, ["url"], [F.col("ts"), F.col("id"), F.col("row")])
+        known = _accepted_before(spark, path, run, batch_id)
         if seen is not None:
             known = known.unionByName(seen.select("url"))
         # Semi-join first: the batch is the small side, so the seen table is only scanned.
         known = known.join(firsts.select("url"), "url", "left_semi")
-        fresh = firsts.join(known, "url", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/accepted/batch_id={batch_id}")
-        mine = spark.read.schema(schemas.INGEST).parquet(f"{path}/accepted/batch_id={batch_id}")
-        candidates.join(mine.select("id"), "id", "left_anti").write.mode("overwrite").parquet(
-            f"{path}/rejected/batch_id={batch_id}"
-        )
-        candidates.unpersist()
+        folder = f"run={run}/batch_id={batch_id}"
+        firsts.join(known, "url", "left_anti").write.mode("overwrite").parquet(f"{path}/accepted/{folder}")
+        mine = spark.read.schema("row BIGINT").parquet(f"{path}/accepted/{folder}")
+        candidates.join(mine, "row", "left_anti").write.mode("overwrite").parquet(f"{path}/rejected/{folder}")
 
     return (
         requests.writeStream.foreachBatch(route)
@@ -60,13 +63,14 @@ def ingest_stream_exact(
     )
 
 
-def _accepted_before(spark, path: str, batch_id: int) -> DataFrame:
-    if batch_id == 0:
+def _accepted_before(spark, path: str, run: str, batch_id: int) -> DataFrame:
+    """URLs accepted by other queries and by earlier batches of this one."""
+    if not exists(spark, f"{path}/accepted"):
         return spark.createDataFrame([], "url STRING")
-    table = spark.read.schema(f"{schemas.INGEST}, batch_id BIGINT").parquet(f"{path}/accepted")
-    return table.where(F.col("batch_id") < batch_id).select("url")
+    table = read_routed(spark, path, "accepted")
+    return table.where((F.col("run") != run) | (F.col("batch_id") < batch_id)).select("url")
 
 
 def read_routed(spark, path: str, route: str) -> DataFrame:
     """The ``accepted`` or ``rejected`` table of ``ingest_stream_exact``."""
-    return spark.read.schema(f"{schemas.INGEST}, batch_id BIGINT").parquet(f"{path}/{route}")
+    return spark.read.schema(f"{schemas.INGEST}, run STRING, batch_id BIGINT").parquet(f"{path}/{route}")

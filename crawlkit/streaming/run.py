@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlkit.session import scratch
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the query that owns a checkpoint; a new checkpoint is a new query."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def finish(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` query; raise what it raised."""
     query.awaitTermination()

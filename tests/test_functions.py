@@ -155,3 +155,13 @@ def test_error_class(spark):
         ("Http404Error", 404, "Page not found: u"),
         ("AppError", 500, "odd"),
     ]
+
+
+def test_tags_that_never_close_are_read_once(spark):
+    import time
+
+    page = "<a x " * 200_000
+    df = spark.createDataFrame([(page,), ('<a href="/in"><a href="/out',)], "html STRING")
+    began = time.time()
+    found = df.select(html.extract_hrefs(F.col("html")).alias("links"), html.page_title(F.col("html")).alias("title")).collect()
+    assert [r.links for r in found] == [[], ["/in"]] and time.time() - began < 10

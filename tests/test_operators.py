@@ -184,7 +184,9 @@ def test_store_rewrites_and_reads_by_url(spark, tmp_path):
     path = str(tmp_path / "store")
     store.write_html_store(first, path, batch=0)
     store.write_html_store(second, path, batch=1)
-    store.write_html_store(second, path, batch=1)
+    with pytest.raises(Exception, match="already exists"):
+        store.write_html_store(second, path, batch=1)
+    store.write_html_store(second, path, batch=1, replay=True)
     assert store.read_html_store(spark, path).count() == 2
     one = store.read_html_store(spark, path, "http://h/1")
     assert [r.html for r in one.collect()] == ["newer"]
@@ -256,3 +258,32 @@ def test_lost_jobs_are_found(spark):
     have = spark.createDataFrame([(2, "completed"), (3, "failed")], "job_id INT, state STRING")
     verdicts = {r.job_id: r.verdict for r in telemetry.reconcile(asked, have).collect()}
     assert verdicts == {1: "lost", 2: "accounted", 3: "unrequested"}
+
+
+def test_null_answers_states_and_latencies(spark):
+    asked = spark.createDataFrame([(1, T0, "http://h/1", None)], "id INT, ts TIMESTAMP_NTZ, url STRING, answered BOOLEAN")
+    seen = spark.createDataFrame([], "url STRING")
+    routed = frontier.route_seen(frontier.seen_result(asked, seen, "answered"))
+    assert [(r.seen_result, r.route) for r in routed.collect()] == [(-1, "retry")]
+    jobs = spark.createDataFrame([(1, None)], "job_id INT, state STRING")
+    ledger = telemetry.reconcile(spark.createDataFrame([(1,), (2,)], "job_id INT"), jobs)
+    assert sorted((r.job_id, r.verdict) for r in ledger.collect()) == [(1, "accounted"), (2, "lost")]
+    log = spark.createDataFrame(
+        [(T0, "d", None), (T0, "d", 1500.0)], "ts TIMESTAMP_NTZ, domain STRING, latency_ms DOUBLE"
+    )
+    assert [r.in_flight for r in telemetry.active_workers(log, 1_000_000).orderBy("bucket").collect()] == [2, 1]
+    calls = spark.createDataFrame([(T0, None)] * 100 + [(T0, float(i)) for i in range(1, 101)], "ts TIMESTAMP_NTZ, latency_ms DOUBLE")
+    row = telemetry.latency_summary(calls).first()
+    assert (row.n_calls, row.p50_ms, row.p95_ms, row.p99_ms) == (100, 50.0, 95.0, 99.0)
+
+
+def test_limiter_keys_of_64_bits(spark):
+    big = 1 << 62
+    hits = [(big + k, T0 + dt.timedelta(seconds=k), 10 * k) for k in range(3)]
+    df = spark.createDataFrame(hits, "key LONG, ts TIMESTAMP_NTZ, id INT")
+    assert all(r.allowed for r in limits.rate_limit(df, "key", points=1, duration_ms=60_000).collect())
+
+
+def test_seeds_have_ids(spark):
+    seeds = io.seed_frontier(spark.createDataFrame([("http://h/1",), ("http://h/2",)], "url STRING"), F.lit(T0))
+    assert seeds.columns == ["id", "ts", "url"] and seeds.where("id is not null").select("id").distinct().count() == 2

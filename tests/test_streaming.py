@@ -116,6 +116,8 @@ def test_crawl_loop_closes_through_storage(spark, tmp_path):
         ).awaitTermination(300)
     stored = read_html_store(spark, f"{tmp_path}/store")
     assert sorted(r.url for r in stored.collect()) == ["http://h/a", "http://h/b", "http://h/c"]
+    failed = spark.read.parquet(f"{tmp_path}/store-failed")
+    assert [r.url for r in failed.collect()] == ["http://h/d"]
     accepted = ingest.read_routed(spark, f"{tmp_path}/routed", "accepted")
     assert sorted(r.url[-1] for r in accepted.collect()) == ["a", "b", "c", "d"]
 
@@ -178,3 +180,15 @@ def test_retry_stream(spark, tmp_path):
         for r in spark.read.parquet(f"{tmp_path}/out").where("job_id = 'j'").collect()
     )
     assert got == [(1, "retry", 2), (2, "retry", 11), (3, "dead", 20)]
+
+
+def test_exact_ingest_keeps_its_table_under_a_new_checkpoint(spark, tmp_path):
+    rows = [(None, T0, "http://h/1"), (None, T0, "http://h/2"), ("a", T0, "http://h/3"), ("a", T0, "http://h/3")]
+    write_batches(spark, tmp_path / "in", rows, schemas.INGEST, 1)
+    for number in range(2):
+        ingest.ingest_stream_exact(
+            stream_of(spark, tmp_path / "in", schemas.INGEST), f"{tmp_path}/out", f"{tmp_path}/cp{number}"
+        ).awaitTermination(300)
+    urls = sorted(r.url for r in ingest.read_routed(spark, f"{tmp_path}/out", "accepted").collect())
+    assert urls == ["http://h/1", "http://h/2", "http://h/3"]
+    assert ingest.read_routed(spark, f"{tmp_path}/out", "rejected").count() == 5
