@@ -9,9 +9,10 @@ link of similarity 0.75 is missed with a chance of about 1e-7).
   share one of their first ``64 - MATCHES + 1`` pairs, so only those are joined. Pairs
   that only one node has still fill the prefix, hence most documents post nothing.
 - *Bound*: a node of which over a quarter is its own posts nothing. Shingles of exactly two
-  nodes name their pair themselves, and are counted per pair. All other pairs have no
-  more in common than the smaller count of shingles that three nodes or more have; a
-  pair is only made if that could reach the threshold for both sizes.
+  nodes name their pair themselves, and are counted per pair. All other pairs have only
+  shingles in common that three nodes or more have. These are counted in 64 classes of
+  the hash; the sum of the smaller counts bounds what a pair can share, and a pair is
+  only made if that could reach the threshold for both sizes.
 - *Skip*: a posting list inside one component is passed over as a whole. Star rounds
   compare every component with one leader per list, and contract; only what is left is
   joined list by list, and only across components. Groups of near copies therefore
@@ -41,6 +42,8 @@ COORDINATES = 64
 #: Least agreements of a candidate pair.
 MATCHES = 30
 STAR_ROUNDS = 2
+#: Classes of shingles that the bound counts in.
+CLASSES = 64
 _BLOCK = 4096
 
 
@@ -87,10 +90,16 @@ def _signed(texts: pa.Array) -> pa.Array:
     )
 
 
+SETS = "struct<shingles:array<bigint>,classes:array<int>>"
+
+
 def _sets(texts: pa.Array) -> pa.Array:
+    """Full sets, and how many shingles fall in each class."""
     sets = [shingle_set(t.as_py()).view(np.int64) for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+    shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+    classes = [np.bincount(x & (CLASSES - 1), minlength=CLASSES).tolist() for x in sets]
+    return pa.StructArray.from_arrays([shingles, pa.array(classes, pa.list_(pa.int32()))], ["shingles", "classes"])
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -108,22 +117,33 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def _shared(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per node (n, shared, common): its shingles, those of two candidates or more, of three or more;
-    and per pair (a, b, both) the shingles that only these two have."""
+    """Per node (n, shared, common): its shingles, those of two candidates or more, and those of
+    three or more by class; and per pair (a, b, both) the shingles that only these two have."""
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     lists = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("node").alias("a"), F.max("node").alias("b"))
-    few = written(lists.where("f < 3").groupBy("a", "b").agg(F.count("*").alias("both")), "few")
-    own = few.where("a = b").select(F.col("a").alias("node"), F.col("both").alias("own"))
-    pairs = few.where("a < b")
-    two = pairs.select(F.explode(F.array("a", "b")).alias("node"), "both").groupBy("node").agg(F.sum("both").alias("two"))
-    sizes = sets.select("node", F.size("shingles").cast("bigint").alias("n")).join(own, "node", "left").join(two, "node", "left")
-    shared = F.col("n") - F.coalesce("own", F.lit(0))
-    return sizes.select("node", "n", shared.alias("shared"), (shared - F.coalesce("two", F.lit(0))).alias("common")), pairs
+    kind = F.pmod("shingle", F.lit(CLASSES)).cast("int").alias("class")
+    few = written(lists.where("f < 3").groupBy("a", "b", kind).agg(F.count("*").cast("int").alias("k")), "few")
+    own = few.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("own"))
+    pairs = few.where("a < b").groupBy("a", "b").agg(F.sum("k").alias("both"))
+    # At most two entries per shingle of a node, and one per class and partner.
+    rare = few.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"), "class", "k")
+    rare = rare.groupBy("node", "class").agg(F.sum("k").cast("int").alias("k"))
+    rare = rare.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "k"))).alias("rare"))
+    sizes = sets.select("node", "classes", F.size("shingles").cast("bigint").alias("n"))
+    sizes = sizes.join(own, "node", "left").join(rare, "node", "left")
+    common = F.transform("classes", lambda c, i: c - F.coalesce(F.try_element_at("rare", i), F.lit(0)))
+    return sizes.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), common.alias("common")), pairs
+
+
+def _overlap(a: str, b: str) -> Column:
+    """Most shingles that two nodes can share, from their counts by class."""
+    least = F.zip_with(a, b, lambda x, y: F.least(x, y))
+    return F.aggregate(least, F.lit(0), lambda total, x: total + x)
 
 
-def _possible(n: Column, shared: Column, n_b: Column, shared_b: Column) -> Column:
-    """Whether c common shingles, c the smaller shared count, could give c / (n + n_b - c) >= PERCENT / 100."""
-    return (100 + PERCENT) * F.least(shared, shared_b) >= PERCENT * (n + n_b)
+def _possible(most: Column, n: str = "n", n_b: str = "n_b") -> Column:
+    """Whether ``most`` common shingles c could give c / (n + n_b - c) >= PERCENT / 100."""
+    return (100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(n_b))
 
 
 def _open_lists(posts: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -146,7 +166,7 @@ def _star(lists: DataFrame, salt: int) -> DataFrame:
     order = F.struct(first.alias("own"), F.xxhash64("node", F.lit(salt)).alias("h"), "node", "comp", "n", "shared")
     leader = lists.groupBy("v").agg(F.min(order).alias("l"))
     met = lists.join(leader, "v").where(
-        (F.col("comp") != F.col("l.comp")) & _possible(F.col("n"), F.col("shared"), F.col("l.n"), F.col("l.shared"))
+        (F.col("comp") != F.col("l.comp")) & _possible(F.least("shared", "l.shared"), "n", "l.n")
     )
     counted = met.groupBy("comp", F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("hits"))
     best = counted.groupBy("comp").agg(F.max(F.struct("hits", "a", "b")).alias("m"))
@@ -157,7 +177,7 @@ def _across(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a list, lie in different components and may be linked by common shingles."""
     other = lists.select("v", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "common")])
     pairs = lists.join(other, "v").where(
-        (F.col("comp") < F.col("comp_b")) & _possible(*[F.col(c) for c in ("n", "common", "n_b", "common_b")])
+        (F.col("comp") < F.col("comp_b")) & _possible(F.least("n", "n_b")) & _possible(_overlap("common", "common_b"))
     )
     return pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
 
@@ -167,8 +187,7 @@ def _by_two(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     a = sizes.select(F.col("node").alias("a"), "n", "common")
     b = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("common_b"))
     both = pairs.join(a, "a").join(b, "b")
-    more = [F.col(c) + F.col("both") for c in ("common", "common_b")]
-    return both.where(_possible(F.col("n"), more[0], F.col("n_b"), more[1])).select("a", "b")
+    return both.where(_possible(_overlap("common", "common_b") + F.col("both"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,7 +221,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     wanted = posts.select("node").distinct()
     texts = rows.select(F.col("rid").alias("node"), "t").join(wanted, "node")
-    sets = written(texts.select("node", F.arrow_udf(_sets, "array<bigint>")("t").alias("shingles")), "sets")
+    sets = written(texts.select("node", F.arrow_udf(_sets, SETS)("t").alias("s")).select("node", "s.*"), "sets")
     sizes, pairs = _shared(sets)
     sizes = written(sizes, "sizes")
     by_two = written(_by_two(pairs, sizes), "by-two")
