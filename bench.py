@@ -21,7 +21,8 @@ HEADLINE = [
     "bloom_false_positive", "rate_limit_first_hit", "rate_limit_aligned", "polite_plan",
     "rolling_success_rate", "fetches_by_domain_status", "top_throttled_domains",
     "latency_summary", "queue_gauges", "attempts", "retention", "reconcile_loss",
-    "crawl_depth", "ingest_stream_exact", "metrics_stream",
+    "crawl_depth", "ingest_stream_exact", "metrics_stream", "crawl_stream", "rate_limit_stream",
+    "retry_stream",
 ]
 
 
