@@ -6,8 +6,9 @@ and split into pieces; each piece is merged on its own.
 
 A piece keeps one leaf per symbol: the rank of the pair that starts there, with its place
 as the tie-break. The root of a minimum tree over the leaves is the leftmost pair of the
-lowest rank. A merge changes three leaves, each in logarithmic time, until the root says
-that no pair can merge; so a piece of a million characters costs n log n.
+lowest rank. A node has FAN children, so most words are one node. A merge changes three
+leaves, each in logarithmic time, until the root says that no pair can merge; so a piece
+of a million characters costs n log n.
 
 Pieces repeat, so a worker remembers merged pieces in two generations of bounded size.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from crawlkit.llm.common import packed, unpacked
 
 _NONE = 1 << 62
+#: Children of a node of the tree.
+FAN = 16
 #: Pieces remembered in each generation, and their longest length.
 GENERATION = 250_000
 _LONG = 64
@@ -61,7 +65,7 @@ class _Remembered(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = np.array(self.merge(piece), np.int32).tobytes()
+            ids = array("i", self.merge(piece)).tobytes()
             if len(piece) > _LONG:
                 return ids
         if len(self) >= GENERATION:
@@ -99,47 +103,36 @@ class Bpe:
         ids[-1] = self.last[data[-1]]
         if n == 1:
             return (ids[0],)
-        pairs = self.pairs
-        size = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [_NONE] * (2 * size)
-        for i in range(n - 1):
-            found = pairs.get((ids[i], ids[i + 1]))
-            if found:
-                tree[size + i] = found[0] * n + i
-        for node in range(size - 1, 0, -1):
-            a, b = tree[2 * node], tree[2 * node + 1]
-            tree[node] = a if a < b else b
+        pairs, get = self.pairs, self.pairs.get
+        leaves = [found[0] * n + i if (found := get(pair)) else _NONE for i, pair in enumerate(zip(ids, ids[1:], strict=False))]
+        levels = [leaves]
+        while len(levels[-1]) > FAN:
+            below = levels[-1]
+            levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+        top = levels[-1]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = pairs.get
-        while (root := tree[1]) != _NONE:
+        while (root := min(top)) != _NONE:
             i = root % n
             gone = after[i]
             new = ids[i] = pairs[ids[i], ids[gone]][1]
             ids[gone] = -1
             right = after[i] = after[gone]
             left = before[i]
-            found = None
+            leaves[i] = _NONE
+            if gone < n - 1:
+                leaves[gone] = _NONE
             if right < n:
                 before[right] = i
-                found = get((new, ids[right]))
-            leaves = [(i, found[0] * n + i if found else _NONE)]
-            if gone < n - 1:
-                leaves.append((gone, _NONE))
+                if found := get((new, ids[right])):
+                    leaves[i] = found[0] * n + i
             if left >= 0:
-                found = get((ids[left], new))
-                leaves.append((left, found[0] * n + left if found else _NONE))
-            for at, key in leaves:
-                node = size + at
-                tree[node] = key
-                node >>= 1
-                while node:
-                    a, b = tree[2 * node], tree[2 * node + 1]
-                    if b < a:
-                        a = b
-                    if tree[node] == a:
-                        break
-                    tree[node] = a
-                    node >>= 1
+                leaves[left] = found[0] * n + left if (found := get((ids[left], new))) else _NONE
+            if top is not leaves:
+                nodes = {i // FAN, min(gone, n - 2) // FAN, max(left, 0) // FAN}
+                for below, above in zip(levels, levels[1:], strict=False):
+                    for node in nodes:
+                        above[node] = min(below[node * FAN : (node + 1) * FAN])
+                    nodes = {node // FAN for node in nodes}
         return tuple(x for x in ids if x >= 0)
 
     def _plain(self, text: str) -> list[str]:
