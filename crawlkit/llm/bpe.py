@@ -33,7 +33,7 @@ _NONE = 1 << 62
 #: Children of a node of the tree.
 FAN = 16
 #: Pieces remembered in each generation, and their longest length.
-GENERATION = 250_000
+GENERATION = 400_000
 _LONG = 64
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how the vocabulary's file splits text.
