@@ -146,13 +146,14 @@ def _octave() -> Column:
 def _band(rows: DataFrame, keys: list[str], name: str, out: str) -> DataFrame:
     """Median and deviation of a measure per group, for groups of LEAST_DOCS or more.
 
-    The measures are whole thousandths, so an exact median holds few distinct values.
+    The measures are whole thousandths, so rows are first counted per value: a group of
+    any size reaches its task as one row per distinct value.
     """
-    value = F.col(f"m.{name}")
-    centre = rows.groupBy(*keys).agg(F.median(value).alias("centre"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    near = rows.select(*keys, value.alias("v")).join(centre, keys)
+    values = rows.groupBy(*keys, F.col(f"m.{name}").alias("v")).agg(F.count("*").alias("f"))
+    centre = values.groupBy(*keys).agg(F.percentile("v", 0.5, F.col("f")).alias("centre"), F.sum("f").alias("n"))
+    near = values.join(centre.where(F.col("n") >= LEAST_DOCS), keys)
     spread = near.groupBy(*keys).agg(
-        F.first("centre").alias("centre"), F.median(F.abs(F.col("v") - F.col("centre"))).alias("d")
+        F.first("centre").alias("centre"), F.percentile(F.abs(F.col("v") - F.col("centre")), 0.5, F.col("f")).alias("d")
     )
     width = WIDTHS[name] * F.greatest(1.4826 * F.col("d"), F.lit(float(FLOORS[name])))
     return spread.select(*keys, F.struct((F.col("centre") - width).alias("low"), (F.col("centre") + width).alias("high")).alias(out))
