@@ -11,11 +11,12 @@ a hash of a to b. It is a bijection for every m and n and can be undone with the
 | email | local part and a dotted domain | letters and digits of the local part, base 36, case folded |
 | ip | four octets of 0 to 255 | the 32 bits |
 | date | a calendar day from 1901 to 2096, ISO or day first | the day number (71,589 = 147 x 487 days) |
-| phone | 8 to 15 digits after +, or a 10-digit form with separators | the last 10 digits, or all if fewer |
+| phone | ten digits after +1, 8 to 15 after another +, or a 10-digit form with separators | the last 10 digits, or all if fewer |
 | ssn | 3-2-4 digits | the 9 digits |
-| card | 13 to 19 digits with a right Luhn digit | all but the first digit and the Luhn digit, which is set anew |
+| card | 13 to 19 digits with a right Luhn digit, from edge to edge of digit groups | all but the first digit and the Luhn digit, which is set anew |
 
-What does not validate stays as it is. Separators, and the lengths of all parts, stay.
+What does not validate stays as it is, and never covers a value beside it: in a run of digit
+groups every stretch is tried as a card, stretches with a card's own groups first. Separators, and the lengths of all parts, stay.
 NULL texts stay NULL, empty ones empty. The key is part of the plan: hand it out like the
 plan's event log.
 """
@@ -31,15 +32,50 @@ ROUNDS = 10
 KINDS = ("email", "ip", "date", "phone", "ssn", "card")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: Each starts at the edge of a run, so a long run is scanned once.
+_YEAR = "(?:19(?:0[1-9]|[1-9][0-9])|20(?:[0-8][0-9]|9[0-6]))"
+_LEAP = "(?:19(?:0[48]|[2468][048]|[13579][26])|20(?:0[048]|[2468][048]|[13579][26]))"
+#: Months and their days; 29 February is apart.
+_MONTHS = (
+    ("(?:0[13578]|1[02])", "(?:0[1-9]|[12][0-9]|3[01])"),
+    ("(?:0[469]|11)", "(?:0[1-9]|[12][0-9]|30)"),
+    ("02", "(?:0[1-9]|1[0-9]|2[0-8])"),
+)
+
+
+def _days(form: str) -> str:
+    """Pattern of the calendar days of 1901 to 2096 in a form of y, m and d."""
+    parts = [(_YEAR, m, d) for m, d in _MONTHS] + [(_LEAP, "02", "29")]
+    return "|".join("".join({"y": y, "m": m, "d": d}.get(c, c) for c in form) for y, m, d in parts)
+
+
+_CODE_1 = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+_TEN = r"(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})"
+#: Looks back over a phone number with + of 8 to 15 digits, which ends here.
+#: Written out, since Java allows no counted groups there.
+_ENOUGH = rf"(?<=\+[0-9]{'[ .()-]{0,3}[0-9]' * 7}{'(?:[ .()-]{0,3}[0-9])?' * 7}\)?)"
+_CARD_GROUPS = r"[0-9]{4}(?:(?:-[0-9]{4}){3}(?:-[0-9]{3})?|(?: [0-9]{4}){3}(?: [0-9]{3})?|-[0-9]{6}-[0-9]{4,5}| [0-9]{6} [0-9]{4,5})(?![A-Za-z0-9])"
+#: Each starts at the edge of a run, so a long run is scanned once. All but "card" validate by
+#: themselves, so a match that is no value never covers one.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9])",
+    "date": rf"(?<![A-Za-z0-9./-])(?:{_days('y-m-d')}|{_days('d[.]m[.]y')}|{_days('d/m/y')})(?![A-Za-z0-9]|[./-][0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
-    "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
 }
+_NEXT = "|".join([*PATTERNS.values(), f"(?<![A-Za-z0-9+]){_TEN}(?![A-Za-z0-9])", _CARD_GROUPS])
+#: After +1 ten digits; else groups up to 15 digits, and from 8 on none that begins another value.
+PATTERNS["phone"] = (
+    rf"(?<![A-Za-z0-9+])(?:{_CODE_1}|{_TEN}|\+[0-9]{{1,15}}+(?:(?!{_ENOUGH}[ .-]?(?:{_NEXT}))"
+    rf"(?:[ .-]?\([0-9]{{1,4}}\)(?:[ .-]?[0-9]{{1,15}}+)?|[ .-][0-9]{{1,15}}+)){{0,14}}{_ENOUGH})(?![A-Za-z0-9])"
+)
+_GROUP = "[0-9]{1,19}+(?![0-9A-Za-z])"
+#: A whole run of digit groups; ``_cards`` finds the cards in it.
+PATTERNS["card"] = (
+    r"(?<![A-Za-z0-9])(?=[0-9](?:[ -]?[0-9]){12})"
+    rf"{_GROUP}(?:[ -](?!{'|'.join(PATTERNS.values())}){_GROUP})*+"
+)
+#: What a card in a run looks like, surest first: its own groups or none, then any stretch from edge to edge.
+CARD_SHAPES = ([_CARD_GROUPS, "[0-9]{13,19}(?![0-9])"], [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in range(19, 12, -1)])
 ANY = "|".join(PATTERNS.values())
 DAYS = (147, 487)
 FIRST_DAY = "1901-01-01"
@@ -164,20 +200,62 @@ def _card(value: Column, key: str, undo: bool) -> Column:
     return _refill(value, "[0-9]", let(body, lambda b: F.concat(b, luhn_digit(b))))
 
 
-def kind_of(value: Column) -> Column:
-    """The kind of a found value, or NULL if it does not validate."""
+def _cut(run: Column, shapes: list[str]) -> Column:
+    """What stands before, between and after the valid cards of ``shapes``, and the cards: struct of two arrays.
 
-    def whole(kind: str) -> Column:
-        return value.rlike(rf"\A(?:{PATTERNS[kind]})\z")
+    Every group start is marked with the number of groups of its first valid candidate (a
+    letter, z for none), so that one pattern takes the cards from left to right.
+    """
+    found = F.array(*[F.regexp_extract_all(run, F.lit(f"(?<![0-9])(?=[0-9])(?=({s})?)"), F.lit(1)) for s in shapes])
+    groups = F.regexp_extract_all(run, F.lit("[0-9]+[ -]*"), F.lit(0))
+
+    def mark(tried: Column, i: Column) -> Column:
+        valid = F.filter(F.transform(tried, lambda f: F.get(f, i)), lambda c: (c != "") & F.call_function("luhn_check", _digits(c)))
+        counted = F.transform(valid, lambda c: F.chr(F.size(F.split(c, "[ -]")) + 96))
+        return F.coalesce(F.get(counted, F.lit(0)), F.lit("z"))
+
+    lead = F.regexp_extract(run, "^[ -]*", 0)
+    marked = F.concat(
+        lead, let(found, lambda tried: F.array_join(F.transform(groups, lambda g, i: F.concat(mark(tried, i), g)), ""))
+    )
+    cards = "|".join(f"{chr(96 + n)}[0-9]+(?:[ -][a-z][0-9]+){{{n - 1}}}" for n in range(1, 20))
+
+    def plain(parts: Column) -> Column:
+        return F.transform(parts, lambda x: F.regexp_replace(x, "[a-z]", ""))
+
+    return let(marked, lambda m: F.struct(plain(pieces(m, cards)).alias("gaps"), plain(matches(m, cards)).alias("cards")))
+
+
+def _parts(run: Column) -> Column:
+    """A run in parts, array of (kind, text): cards, and what stands around them with kind NULL."""
+
+    def woven(cut: Column, gap_parts) -> Column:
+        card = F.transform(cut.cards, lambda c: F.array(F.struct(F.lit("card").alias("kind"), c.alias("text"))))
+        none = F.array().cast("array<struct<kind:string,text:string>>")
+        return F.flatten(F.zip_with(cut.gaps, card, lambda g, c: F.concat(gap_parts(g), F.coalesce(c, none))))
+
+    def bare(gap: Column) -> Column:
+        return F.array(F.struct(F.lit(None).cast("string").alias("kind"), gap.alias("text")))
+
+    sure, other = CARD_SHAPES
+    return let(_cut(run, sure), lambda cut: woven(cut, lambda gap: F.when(
+        F.length(_digits(gap)) >= 13, let(_cut(gap, other), lambda c: woven(c, bare))
+    ).otherwise(bare(gap))))
+
+
+def parts_of(value: Column) -> Column:
+    """A found value as an array of (kind, text) that add up to it; kind is NULL for what is no value."""
+
+    def as_kind(kind: str) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), value.alias("text")))
 
-    day = _day(value)
     return (
-        F.when(whole("email"), F.when(value.rlike(r"[A-Za-z0-9][^@]*@"), F.lit("email")))
-        .when(whole("ip"), F.lit("ip"))
-        .when(whole("date"), F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), F.lit("date")))
-        .when(whole("ssn"), F.lit("ssn"))
-        .when(whole("phone"), F.when(F.length(_digits(value)).between(8, 15), F.lit("phone")))
-        .when(whole("card"), F.when(F.call_function("luhn_check", _digits(value)), F.lit("card")))
+        F.when(value.contains("@"), as_kind("email"))
+        .when(value.rlike(rf"\A(?:[+(]|{_TEN}\z)"), as_kind("phone"))
+        .when(value.rlike(r"\A[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z"), as_kind("ip"))
+        .when(value.rlike(r"\A(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})\z"), as_kind("date"))
+        .when(value.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), as_kind("ssn"))
+        .otherwise(_parts(value))
     )
 
 
@@ -201,16 +279,22 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", undo: bool = Fal
     """
     whole = packed(docs).withColumn("t", F.col(f"row.`{text}`"))
 
-    def value(m: Column) -> Column:
-        return let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key, undo).alias("new")))
+    def values(m: Column) -> Column:
+        return F.transform(
+            parts_of(m), lambda p: F.struct(p.kind.alias("kind"), pseudonym(p.text, p.kind, key, undo).alias("new"))
+        )
 
-    none = F.array().cast("array<struct<kind:string,new:string>>")
+    none = F.array().cast("array<array<struct<kind:string,new:string>>>")
     found = whole.withColumn(
-        "all", F.when(F.col("t").rlike(ANY), F.transform(matches(F.col("t"), ANY), value)).otherwise(none)
+        "all", F.when(F.col("t").rlike(ANY), F.transform(matches(F.col("t"), ANY), values)).otherwise(none)
     )
-    new = F.zip_with(pieces(F.col("t"), ANY), "all", lambda gap, v: F.concat(gap, F.coalesce(v.new, F.lit(""))))
+
+    def joined(parts: Column) -> Column:
+        return F.coalesce(F.array_join(F.transform(parts, lambda p: p.new), ""), F.lit(""))
+
+    new = F.zip_with(pieces(F.col("t"), ANY), "all", lambda gap, v: F.concat(gap, joined(v)))
     text_out = F.when(F.size("all") > 0, F.array_join(new, "")).otherwise(F.col("t"))
-    return unpacked(found, **{text: text_out, "pii": F.filter("all", lambda v: v.kind.isNotNull())})
+    return unpacked(found, **{text: text_out, "pii": F.filter(F.flatten("all"), lambda v: v.kind.isNotNull())})
 
 
 def of_kind(values: str, kind: str) -> Column:

@@ -246,3 +246,33 @@ def test_what_does_not_validate_stays(spark):
         [(i, t, 0) for i, t in enumerate(texts)] + [(1, "", 0)], key=str
     )
     assert pii.pseudonymize(docs.limit(0), "k").count() == 0
+
+
+def test_a_neighbouring_number_hides_no_value(spark):
+    sf01 = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (1377, 7052)")
+    for r in pii.pseudonymize(sf01.select("doc_id", "text", F.col("text").alias("old")), "k").collect():
+        for kind in ("phone", "ip"):
+            old, new = re.findall(FOUND[kind], r["old"]), re.findall(FOUND[kind], r["text"])
+            assert old and len(old) == len(new) and not set(old) & set(new), (r["doc_id"], kind)
+    phone, card, many = "+1 555 123 4567", "4111 1111 1111 1111", "+49 30 1234567"
+    cases = {
+        phone: [phone], f"{phone} 12": [phone, " 12"], f"{phone} 190.137.223.204": [phone, " ", "190.137.223.204"],
+        f"{many} 190.137.223.204": [many, " ", "190.137.223.204"], f"{many} 2020-05-01": [many, " ", "2020-05-01"],
+        f"{many} {card}": [many, " ", card], f"{many} (555) 123-4567": [many, " ", "(555) 123-4567"],
+        card: [card], f"order 12345 {card}": ["order 12345 ", card], f"1234 {card}": ["1234 ", card], f"{card} 1234": [card, " 1234"],
+        f"{card} {card}": [card, " ", card], f"{card} 190.137.223.204": [card, " ", "190.137.223.204"],
+        "7 4111111111111111 8": ["7 ", "4111111111111111", " 8"], "41 11111111111111 5th": ["41 11111111111111", " 5th"],
+        f"2023-02-30 {card}": ["2023-02-30 ", card], "+++@10.1.2.3": ["+++@", "10.1.2.3"], "1 2 " * 3000 + card: None,
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    new = pii.pseudonymize(docs, "k")
+    rows = {r["doc_id"]: r for r in new.collect()}
+    alone = {v: w for i, (v, parts) in enumerate(cases.items()) for w in [rows[i]["text"]] if parts == [v]}
+    for i, (text, parts) in enumerate(cases.items()):
+        if parts is None:
+            continue
+        pseudonyms = iter(v["new"] for v in rows[i]["pii"])
+        got = [next(pseudonyms) if re.search(r"\d{4}|\d\.\d", p) and p[0] != " " and not p.endswith(" ") else p for p in parts]
+        assert "".join(got) == rows[i]["text"] and not list(pseudonyms), (text, rows[i])
+        assert all(g != p and g == alone.get(p, g) for g, p in zip(got, parts) if g != p or p in alone), (text, got)
+    assert len(rows) == len(cases)
