@@ -10,7 +10,7 @@ a hash of a to b. It is a bijection for every m and n and can be undone with the
 |---|---|---|
 | email | local part and a dotted domain | letters and digits of the local part, base 36, case folded |
 | ip | four octets of 0 to 255 | the 32 bits |
-| date | a calendar day from 1901 to 2096, ISO or day first | the day number (71,589 = 147 x 487 days) |
+| date | a calendar day from 1901 to 2096, ISO, day first, or MM/DD/YYYY if DD is over 12 | the day number (71,589 = 147 x 487 days; month first, among days over 12: 43,365 = 49 x 885) |
 | phone | ten digits after +1, 8 to 15 after another +, or a 10-digit form with separators | the last 10 digits, or all if fewer |
 | ssn | 3-2-4 digits | the 9 digits |
 | card | 13 to 19 digits with a right Luhn digit, from edge to edge of digit groups | all but the first digit and the Luhn digit, which is set anew |
@@ -23,6 +23,8 @@ plan's event log.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def _days(form: str) -> str:
 
 
 _CODE_1 = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-_TEN = r"(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})"
+_TEN = r"(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})"
 #: Looks back over a phone number with + of 8 to 15 digits, which ends here.
 #: Written out, since Java allows no counted groups there.
 _ENOUGH = rf"(?<=\+[0-9]{'[ .()-]{0,3}[0-9]' * 7}{'(?:[ .()-]{0,3}[0-9])?' * 7}\)?)"
@@ -59,7 +61,7 @@ _CARD_GROUPS = r"[0-9]{4}(?:(?:-[0-9]{4}){3}(?:-[0-9]{3})?|(?: [0-9]{4}){3}(?: [
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "date": rf"(?<![A-Za-z0-9./-])(?:{_days('y-m-d')}|{_days('d[.]m[.]y')}|{_days('d/m/y')})(?![A-Za-z0-9]|[./-][0-9])",
+    "date": rf"(?<![A-Za-z0-9./-])(?:{_days('y-m-d')}|{_days('d[.]m[.]y')}|{_days('d/m/y')}|{_days('m/d/y')})(?![A-Za-z0-9]|[./-][0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
 }
 _NEXT = "|".join([*PATTERNS.values(), f"(?<![A-Za-z0-9+]){_TEN}(?![A-Za-z0-9])", _CARD_GROUPS])
@@ -79,6 +81,10 @@ CARD_SHAPES = ([_CARD_GROUPS, "[0-9]{13,19}(?![0-9])"], [rf"[0-9](?:[ -]?[0-9]){
 ANY = "|".join(PATTERNS.values())
 DAYS = (147, 487)
 FIRST_DAY = "1901-01-01"
+#: Days of four years; in each such cycle these are after the 12th of their month.
+CYCLE = 1461
+LATE_DAYS = [i for i in range(CYCLE) if (date.fromisoformat(FIRST_DAY) + timedelta(i)).day > 12]
+CYCLES = 49
 
 
 def feistel(a: Column, b: Column, m: Column, n: Column, tweak: Column, key: str, undo: bool = False) -> Column:
@@ -165,21 +171,41 @@ def _ip(value: Column, key: str, undo: bool) -> Column:
         x.cast("string") for x in (F.floor(p.a / 256), p.a % 256, F.floor(p.b / 256), p.b % 256)]))
 
 
+def _month_first(value: Column) -> Column:
+    return value.contains("/") & (F.substring(value, 4, 2) > "12")
+
+
 def _day(value: Column) -> Column:
-    iso = F.when(value.rlike("^[0-9]{4}-"), value).otherwise(
-        F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
+    first, second = F.substring(value, 1, 2), F.substring(value, 4, 2)
+    iso = (
+        F.when(value.rlike("^[0-9]{4}-"), value)
+        .when(_month_first(value), F.concat_ws("-", F.substring(value, 7, 4), first, second))
+        .otherwise(F.concat_ws("-", F.substring(value, 7, 4), second, first))
     )
     return F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
 
 
 def _date(value: Column, key: str, undo: bool) -> Column:
     day = _day(value).cast("bigint")
-    pair = feistel(F.floor(day / DAYS[1]), day % DAYS[1], *[F.lit(d).cast("bigint") for d in DAYS], F.lit("date"), key, undo)
-    new = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p.a * DAYS[1] + p.b).cast("int")))
+    late = F.lit(LATE_DAYS)
+
+    def permuted(a: Column, b: Column, sizes: tuple[int, int], tweak: str) -> Column:
+        return feistel(a, b, *[F.lit(n).cast("bigint") for n in sizes], F.lit(tweak), key, undo)
+
+    def shown(number: Column, form: str) -> Column:
+        return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int")), form)
+
+    of_all = permuted(F.floor(day / DAYS[1]), day % DAYS[1], DAYS, "date")
+    of_late = permuted(
+        F.floor(day / CYCLE), F.array_position(late, (day % CYCLE).cast("int")) - 1, (CYCLES, len(LATE_DAYS)), "late date"
+    )
+    new = let(of_all, lambda p: p.a * DAYS[1] + p.b)
+    new_late = let(of_late, lambda p: p.a * CYCLE + F.element_at(late, (p.b + 1).cast("int")))
     return (
-        F.when(value.rlike("^[0-9]{4}-"), F.date_format(new, "yyyy-MM-dd"))
-        .when(value.contains("/"), F.date_format(new, "dd/MM/yyyy"))
-        .otherwise(F.date_format(new, "dd.MM.yyyy"))
+        F.when(value.rlike("^[0-9]{4}-"), shown(new, "yyyy-MM-dd"))
+        .when(_month_first(value), shown(new_late, "MM/dd/yyyy"))
+        .when(value.contains("/"), shown(new, "dd/MM/yyyy"))
+        .otherwise(shown(new, "dd.MM.yyyy"))
     )
 
 

@@ -276,3 +276,18 @@ def test_a_neighbouring_number_hides_no_value(spark):
         assert "".join(got) == rows[i]["text"] and not list(pseudonyms), (text, rows[i])
         assert all(g != p and g == alone.get(p, g) for g, p in zip(got, parts) if g != p or p in alone), (text, got)
     assert len(rows) == len(cases)
+
+
+def test_month_first_dates_and_blanks_in_phones(spark):
+    values = [f"{m:02}/{d}/{y}" for m in (1, 3, 12) for d in (13, 25, 31) for y in (1901, 2000, 2096)]
+    values += ["02/29/2000", "02/28/2001", "555 123 4567", "555 123 4568"]
+    docs = spark.createDataFrame([(i, f"on {v}, x") for i, v in enumerate(values)], "doc_id long, text string")
+    new = pii.pseudonymize(docs, "k")
+    rows = {r["doc_id"]: r for r in new.collect()}
+    assert [[p["kind"] for p in rows[i]["pii"]] for i in range(len(values))] == [["date"]] * (len(values) - 2) + [["phone"]] * 2
+    assert len({r["text"] for r in rows.values()}) == len(values) and sum(rows[i]["text"] == f"on {v}, x" for i, v in enumerate(values)) < 2
+    assert all(int(re.search(r"/(\d\d)/", rows[i]["text"])[1]) > 12 for i in range(len(values) - 2))
+    back = pii.pseudonymize(new.drop("pii"), "k", undo=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: f"on {v}, x" for i, v in enumerate(values)}
+    stays = spark.createDataFrame([(0, "02/30/2000 13/13/2000 02/29/2001")], "doc_id long, text string")
+    assert pii.pseudonymize(stays, "k").first()["pii"] == []
