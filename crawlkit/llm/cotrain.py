@@ -1,9 +1,10 @@
 """Quality classifier by co-training of a text view and a page view.
 
 The text view sees how words are written and repeated; the page view sees metadata and
-layout (language, source, length, lines). Every feature is put into bins of fixed edges,
-and each view is a naive Bayes model over the bins, so training is counting: one
-aggregate over all rows, whose result is no larger than features x bins x 2.
+layout (language, source, length, lines). Measures are put into bins of fixed edges, and
+each view is a naive Bayes model over the bins, so training is counting: one aggregate over
+all rows, whose result is no larger than features x bins x 2. Languages and sources are
+counted by value, however many there are: their odds are a table, joined back by value.
 
 In each round both views are trained and calibrated, then each hands the labels it is
 sure of, on rows without a label, to the other view (never to itself). There is no limit
@@ -38,7 +39,11 @@ TEXT = (
     "word_length", "upper", "digits", "symbols", "distinct", "adjacent", "top_word", "marked_words",
     "loose_symbols", "lower_start", "stops", "char_entropy",
 )
-PAGE = ("lang", "source", "length", "lines", "line_length", "equal_lines")
+NAMES = ("lang", "source")
+LAYOUT = ("length", "lines", "line_length", "equal_lines")
+PAGE = (*NAMES, *LAYOUT)
+#: A name's odds start from so many rows of the prior: unseen names say nothing, rare ones little.
+NAME_PRIOR = 2.0
 
 
 def _share(part: float, whole: float) -> int:
@@ -77,7 +82,7 @@ def text_bins(text: str) -> list[int]:
 
 
 def page_bins(text: str) -> list[int]:
-    """Layout; language and source are added as columns."""
+    """Layout; language and source are counted by value."""
     lines = text.split("\n")
     return [_octave(len(text)), _octave(len(lines)), _octave(len(text) / len(lines), 3), _share(len(lines) - len(set(lines)), len(lines))]
 
@@ -89,8 +94,8 @@ def _binned(texts: pa.Array) -> pa.Array:
 
 
 def _named(name: str, row: str) -> Column:
-    """A name's bin; NULL is a name of its own."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(f"{row}.`{name}`").cast("string"), F.lit("\0"))), F.lit(BINS)).cast("int")
+    """A name as text; NULL is a name of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"{row}.`{name}`").cast("string")), F.lit(""))
 
 
 def _cells(view: str) -> Column:
@@ -100,7 +105,7 @@ def _cells(view: str) -> Column:
 
 def _ratios(rows: DataFrame, view: str, label: str) -> tuple[list[float], float]:
     """Log-odds (good over bad) per cell, and of the prior; one is added to every count."""
-    size = len(TEXT if view == "text" else PAGE) * BINS
+    size = len(TEXT if view == "text" else LAYOUT) * BINS
     counts = np.ones((2, size))
     classes = np.ones(2)
     cells = rows.where(F.col(label).isNotNull()).select(label, F.explode(_cells(view)).alias("cell"))
@@ -111,6 +116,24 @@ def _ratios(rows: DataFrame, view: str, label: str) -> tuple[list[float], float]
     return np.log(shares[1] / shares[0]).ravel().round(5).tolist(), float(np.log(classes[1] / classes[0]))
 
 
+def _name_odds(rows: DataFrame, label: str, prior: float) -> DataFrame:
+    """Log-odds over the prior of every value of every name: table of feature, name, odds."""
+    base = 1 / (1 + math.exp(-prior))
+    names = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("one"), F.posexplode("names").alias("feature", "name"))
+    counts = names.groupBy("feature", "name").agg(F.sum("one").alias("good"), F.count("*").alias("n"))
+    odds = F.log((F.col("good") + NAME_PRIOR * base) / (F.col("n") - F.col("good") + NAME_PRIOR * (1 - base))) - prior
+    return written(counts.select("feature", "name", F.round(odds, 5).alias("odds")), "name-odds")
+
+
+def _with_names(rows: DataFrame, odds: DataFrame) -> DataFrame:
+    """``rows`` with ``named``: the sum of the odds of their names."""
+    out, columns = rows, rows.columns
+    for i in range(len(NAMES)):
+        part = odds.where(F.col("feature") == i).select(F.col("name").alias(f"name_{i}"), F.col("odds").alias(f"odds_{i}"))
+        out = out.join(part, F.col("names")[i] == F.col(f"name_{i}"), "left")
+    return out.select(*columns, sum((F.coalesce(f"odds_{i}", F.lit(0.0)) for i in range(len(NAMES))), F.lit(0.0)).alias("named"))
+
+
 def _literal(values: list[float]) -> Column:
     """An array literal, folded once when the plan is made."""
     return F.split(F.lit(",".join(f"{v:.6f}" for v in values)), ",").cast("array<double>")
@@ -118,7 +141,8 @@ def _literal(values: list[float]) -> Column:
 
 def _raw(view: str, ratios: list[float]) -> Column:
     model = _literal(ratios)
-    return F.aggregate(_cells(view), F.lit(0.0), lambda total, cell: total + F.element_at(model, cell + 1))
+    start = F.col("named") if view == "page" else F.lit(0.0)
+    return F.aggregate(_cells(view), start, lambda total, cell: total + F.element_at(model, cell + 1))
 
 
 def _score_bin(raw: Column) -> Column:
@@ -165,17 +189,19 @@ def classify(
     whole = packed(docs).withColumns({"key": F.col(f"row.`{doc_id}`"), "t": F.col(f"row.`{text}`")})
     binned = whole.select("row", "key", F.arrow_udf(_binned, "struct<text:array<int>,page:array<int>>")("t").alias("b"))
     binned = binned.select(
-        "row", "key", "b.text", F.concat(F.array(_named(lang, "row"), _named(source, "row")), F.col("b.page")).alias("page")
+        "row", "key", "b.text", "b.page", F.array(_named(lang, "row"), _named(source, "row")).alias("names")
     )
     rows = binned.join(given, "key", "left").withColumn("held", F.pmod(F.xxhash64("key"), F.lit(4)) == 0)
     rows = written(rows, "views")
     trained = F.when(~F.coalesce("held", F.lit(False)), F.col("label"))
     known = rows.withColumns({f"to_{v}": trained for v in VIEWS})
     for number in range(rounds):
-        scores, priors = {}, {}
+        scores, priors, ratios = {}, {}, {}
+        for view in VIEWS:
+            ratios[view], priors[view] = _ratios(known, view, f"to_{view}")
+        scored = _with_names(rows, _name_odds(known, "to_page", priors["page"]))
         for view in VIEWS:
-            ratios, priors[view] = _ratios(known, view, f"to_{view}")
-            scores[view] = _calibrated(rows, view, ratios, priors[view])
+            scores[view] = _calibrated(scored, view, ratios[view], priors[view])
         if number == rounds - 1:
             break
         sure = math.log(SURE / (1 - SURE))
@@ -185,7 +211,7 @@ def classify(
             .when(scores[view] <= -sure, 0)
             for view, other in zip(VIEWS, VIEWS[::-1], strict=True)
         }
-        known = rows.withColumns(handed)
+        known = scored.withColumns(handed)
     prior = sum(priors.values()) / len(priors)
 
     def chance(odds: Column) -> Column:
@@ -193,7 +219,7 @@ def classify(
 
     both = scores["text"] + scores["page"] - prior
     return unpacked(
-        rows,
+        scored,
         text_score=chance(scores["text"]),
         page_score=chance(scores["page"]),
         quality_score=chance(both),

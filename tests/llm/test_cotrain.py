@@ -42,3 +42,19 @@ def test_no_labels_null_rows_repeats_and_clashes(spark):
 def test_long_text_bins():
     assert len(cotrain.text_bins("é! " * 100_000)) == len(cotrain.TEXT)
     assert len(cotrain.page_bins("")) + 2 == len(cotrain.PAGE)
+
+
+def test_every_source_has_its_own_odds(spark):
+    many = 200
+    rows = [(i, "the same words", "en", f"s{i % many}") for i in range(40 * many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = docs.select("doc_id", F.substring("source", 2, 9).cast("int").alias("n"))
+    labels = labels.where("doc_id < 32 * " + str(many)).select("doc_id", (F.col("n") % 2).alias("quality"))
+    more = spark.createDataFrame([(-1, "the same words", "en", "unseen"), (-2, "the same words", "en", None)], docs.schema)
+    out = cotrain.classify(docs.union(more), labels).select("doc_id", "source", "page_score").collect()
+    assert len(out) == 40 * many + 2
+    for r in out:
+        if r["doc_id"] < 0:
+            assert 0.2 < r["page_score"] < 0.8
+        else:
+            assert (r["page_score"] > 0.9) == (int(r["source"][1:]) % 2 == 1), r
