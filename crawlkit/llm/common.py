@@ -58,4 +58,38 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-__all__ = ["SPACES", "discard", "hex_digest", "let", "matches", "packed", "pieces", "scratch", "table", "unpacked", "written"]
+def clean_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows whose array ``vector`` is whole: no NULL, NaN or infinity in it, and not empty.
+
+    Vectors of another length than the commonest (of equally common ones the longest) cannot
+    be compared with the others and are left out too.
+    """
+    fine = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = rows.where((F.size(vector) > 0) & fine)
+    commonest = whole.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return whole.where(F.size(vector) == (commonest["size"] if commonest else 0))
+
+
+#: Tables of up to so many rows are broadcast; a key is heavy with more than 1 / HEAVY of all rows.
+SMALL, HEAVY = 10_000, 1_000
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key`` and in ``n`` how many ``rows`` have it.
+
+    A small table is broadcast. Of a large one only the heavy keys are, fewer than ``HEAVY``
+    by their share, so no task of the shuffle join gets more than that share for one key.
+    Both sides are read several times: give written tables. ``key`` must not be NULL.
+    """
+    if table.count() <= SMALL:
+        return rows.join(F.broadcast(table), key)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    heavy = table.where(F.col(n) * HEAVY > total)
+    light = table.where(F.col(n) * HEAVY <= total)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
+__all__ = [
+    "SPACES", "attach", "clean_vectors", "discard", "hex_digest", "let", "matches", "packed", "pieces", "scratch", "table", "unpacked", "written",
+]

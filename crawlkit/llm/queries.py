@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlkit.llm import bpe, chat, cotrain, fertility, minhash, pii, secrets, shards, suffix, winnow
-from crawlkit.llm.common import hex_digest, table, written
+from crawlkit.llm import bpe, chat, cotrain, fertility, lloyd, minhash, mixing, pii, secrets, shards, suffix, whitening, winnow
+from crawlkit.llm.common import SPACES, hex_digest, table, written
 
 #: In production the key comes from a vault; this one belongs to the test tables.
 PII_KEY = "key of the test tables"
@@ -120,10 +122,45 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = lloyd.encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    numbers = ",".join(str(c) for book in books for entry in book.tolist() for c in entry)
+    return coded.select(
+        "vec_id",
+        F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return white.select("vec_id", "n", F.col("deviation").cast("bigint").alias("deviation"), "identity_error", each).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.coalesce(F.regexp_count("text", F.lit(SPACES.replace("[", "[^", 1) + "+")), F.lit(0)).cast("bigint")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("size"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_fertility, op3_minhash, op4_chat, op5_winnow, op6_cotrain, op7_shards, op8_bpe, op9_pii, op10_suffix)
-}
+    for f in (
+        op1_secrets, op2_fertility, op3_minhash, op4_chat, op5_winnow, op6_cotrain, op7_shards, op8_bpe, op9_pii, op10_suffix,
+        op11_lloyd, op12_whitening, op13_mixing,
+    )
+}
 
 OP4_SQL = r"""
 WITH rows AS (
