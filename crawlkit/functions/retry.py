@@ -48,6 +48,13 @@ def fetch_backoff_ms(error_name: Column, attempt: Column) -> Column:
     return F.when(attempt.between(1, FETCH_ATTEMPTS - 1), wait)
 
 
+#: Attempts and waits of a policy: the wait follows from the error's name and the attempt.
+POLICIES = {
+    "ingest": (INGEST_ATTEMPTS, lambda error_name, attempt: ingest_backoff_ms(attempt)),
+    "fetch": (FETCH_ATTEMPTS, fetch_backoff_ms),
+}
+
+
 def failure_kind(kind: Column, http_status: Column) -> Column:
     """One kind per failure: the given one, else read off the HTTP status."""
     return F.coalesce(

@@ -95,8 +95,13 @@ def classify_outcome(df: DataFrame) -> DataFrame:
 
 
 def fetch_join(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Put the page body next to each frontier URL; a missing page is a failed fetch."""
-    body = pages.select("url", "html")
+    """Put the page body next to each frontier URL; a missing page is a failed fetch.
+
+    Of several versions of a page the newest counts (of equal or unnumbered ones the
+    largest body), so a URL stays one row. Bodies are shuffled once, by URL.
+    """
+    newest = F.struct("version", "html") if "version" in pages.columns else F.struct("html")
+    body = pages.groupBy("url").agg(F.max(newest).alias("page")).select("url", F.col("page.html").alias("html"))
     return frontier.join(body, "url", "left").withColumn(
         "status", F.when(F.col("html").isNull(), "failed").otherwise("success")
     )

@@ -16,6 +16,7 @@ from crawlkit.plans.views import EPOCH, FETCH_QUEUE, Views
 from crawlkit.session import materialize, scratch
 from crawlkit.sources import io, store
 from crawlkit.streaming import crawl, ingest, metrics, stateful
+from crawlkit.streaming import retry as retry_loop
 from crawlkit.streaming.run import drain, finish
 
 DAY_MS = 86_400_000
@@ -434,11 +435,40 @@ def crawl_stream(v):
     return pages.unionByName(links.withColumn("html_md5", F.lit(None).cast("string")))
 
 
-def retry_stream(v):
-    """Failed attempts come back once event time passes their wait; the fifth is dead."""
+def crawl_loop(v):
+    """From the seeds until nothing is new: what became of every URL that was accepted."""
+    home = scratch(v.spark, "crawl-loop")
+    fetched = v.linked_pages().withColumn("version", F.lit(0))
+    store.write_html_store(fetched, f"{home}/pages", 0)
+    out = crawl.crawl_loop(v.crawl_seeds(), f"{home}/pages", f"{home}/crawl")
+    return out.select("url", "outcome", "title")
+
+
+def rate_limit_delay_stream(v):
+    """Hits over the limit are held until their window comes; the rest never comes out."""
     stateful.use_rocksdb(v.spark)
+    home = scratch(v.spark, "limiter-delay")
+    live = v.streaming("events").requests()
+    out = stateful.rate_limit_stream(live, "client", points=5, duration_ms=DAY_MS, emit="delay")
+    finish(stateful.hold_until_ready(out, home, f"{home}/checkpoint"))
+    return stateful.read_ready(v.spark, home).select("id", F.col("key").alias("client"), "ms", "ready_ms")
+
+
+def _retry_stream(v, policy):
+    home = scratch(v.spark, f"retry-{policy}")
     failures = v.streaming("lineitem").job_events().where("error is not null")
-    return drain(stateful.retry_stream(failures, cap=retry.INGEST_ATTEMPTS), "retry")
+    finish(retry_loop.retry_stream(failures, home, f"{home}/checkpoint", policy))
+    return retry_loop.read_retries(v.spark, home)
+
+
+def retry_stream(v):
+    """Failed ingest attempts come back once event time passes their wait; the fifth is dead."""
+    return _retry_stream(v, "ingest")
+
+
+def retry_stream_fetch(v):
+    """The same failures as fetches: throttled ones wait a second, others twice as long each time."""
+    return _retry_stream(v, "fetch")
 
 
 QUERIES: dict[str, Query] = {
@@ -459,8 +489,8 @@ QUERIES: dict[str, Query] = {
         html_store_layout, page_titles, extract_links, resolve_links, scheme_filter,
         link_edges, link_stats, link_in_degree, top_hubs, crawl_depth, crawl_growth,
         frontier_fetch, new_links_by_host,
-        ingest_stream_urls, ingest_stream_exact, crawl_stream, metrics_stream, rate_limit_stream,
-        retry_stream,
+        ingest_stream_urls, ingest_stream_exact, crawl_stream, crawl_loop, metrics_stream, rate_limit_stream,
+        rate_limit_delay_stream, retry_stream, retry_stream_fetch,
     ]
 }
 

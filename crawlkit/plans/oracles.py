@@ -160,6 +160,55 @@ FIRST_HIT = _recursive(
       FROM hits h ASOF JOIN starts s ON h.client = s.client AND h.ms >= s.start)""",
 )
 
+CANONICAL = """lower(regexp_extract(url, '^(https?://[^/?#]*)(.*)$', 1)) ||
+      CASE WHEN regexp_matches(url, '^https?://[^/?#]*/') THEN '' ELSE '/' END ||
+      regexp_extract(url, '^(https?://[^/?#]*)(.*)$', 2)"""
+
+_FOUND_TITLE = _decoded("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")
+TITLE = f"""coalesce(nullif(trim({_FOUND_TITLE}, ' ' || chr(9) || chr(10) || chr(13)), ''), 'Untitled Document')"""
+
+# Unbounded: a URL enters once, so the recursion ends when no URL is new.
+CRAWL = _recursive(
+    f"""{LINKS}""",
+    """targets AS (
+      SELECT DISTINCT e.src, p.url FROM edges e
+      JOIN pages p ON p.page_id = CAST('0x' || substr(md5(e.dst), 1, 7) AS BIGINT) % (SELECT count(*) FROM pages))""",
+    f"""jumps AS (
+      SELECT src, dst FROM edges WHERE dst LIKE 'http://%' OR dst LIKE 'https://%'
+      UNION SELECT src, {CANONICAL} FROM targets)""",
+    """reached AS (
+      SELECT unnest([url, 'no url ' || page_id]) AS url FROM pages WHERE page_id % 25 = 0
+      UNION
+      SELECT j.dst FROM reached r JOIN jumps j ON j.src = r.url)""",
+)
+
+# Every hit takes a point; a full window hands on to the next one, which may lie ahead of the hit.
+BOOKED = _recursive(
+    """hits AS (
+      SELECT event_id AS id, user_id AS client, epoch_us(ts) // 1000 AS ms,
+        row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events)""",
+    """booked AS (
+      SELECT id, client, ms, rn, ms AS start, 1 AS used FROM hits WHERE rn = 1
+      UNION ALL
+      SELECT h.id, h.client, h.ms, h.rn,
+        CASE WHEN h.ms >= b.start + 86400000 THEN h.ms WHEN b.used = 5 THEN b.start + 86400000 ELSE b.start END,
+        CASE WHEN h.ms >= b.start + 86400000 OR b.used = 5 THEN 1 ELSE b.used + 1 END
+      FROM booked b JOIN hits h ON h.client = b.client AND h.rn = b.rn + 1)""",
+)
+
+
+def _retries(cap: int, wait: str) -> str:
+    return (
+        _with(JOB_EVENTS)
+        + f"""SELECT job_id, n AS attempt, error, verdict, at_ms FROM (
+      SELECT job_id, n, error, CASE WHEN n = {cap} THEN 'dead' ELSE 'retry' END AS verdict,
+        epoch_us(ts) // 1000 + CASE WHEN n = {cap} THEN 0 ELSE {wait} END AS at_ms
+      FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS n
+            FROM job_events WHERE error IS NOT NULL) WHERE n <= {cap})
+      WHERE verdict = 'dead' OR at_ms <= (SELECT epoch_us(max(ts)) // 1000 FROM job_events WHERE error IS NOT NULL)"""
+    )
+
+
 ORACLES: dict[str, str] = {
     "ingest_admit": _with(REQUESTS)
     + """SELECT id, CASE WHEN coalesce(url, '') = '' THEN 400 ELSE 202 END AS status,
@@ -201,14 +250,18 @@ ORACLES: dict[str, str] = {
     "crawl_stream": _with(LINKS)
     + """SELECT url, md5(html) AS html_md5, 1 AS n FROM pages
       UNION ALL SELECT dst, NULL, count(*) FROM edges GROUP BY dst""",
-    "retry_stream": _with(JOB_EVENTS)
-    + """SELECT job_id, attempt, error, verdict, at_ms FROM (
-      SELECT job_id, n AS attempt, error, CASE WHEN n >= 5 THEN 'dead' ELSE 'retry' END AS verdict,
-        epoch_us(ts) // 1000 + CASE WHEN n >= 5 THEN 0 WHEN error = 'DomainRateLimitError' THEN 1000
-          ELSE CAST(least(1000 * power(2, n), 30000) AS BIGINT) END AS at_ms
-      FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS n
-            FROM job_events WHERE error IS NOT NULL))
-      WHERE verdict = 'dead' OR at_ms <= (SELECT epoch_us(max(ts)) // 1000 FROM job_events WHERE error IS NOT NULL)""",
+    "crawl_loop": CRAWL
+    + f"""SELECT r.url, CASE WHEN NOT regexp_matches(r.url, '^https?://') THEN 'discarded'
+        WHEN p.url IS NULL THEN 'failed' ELSE 'stored' END AS outcome,
+      CASE WHEN p.url IS NOT NULL THEN {TITLE} END AS title
+      FROM reached r LEFT JOIN pages p ON p.url = r.url""",
+    "retry_stream": _retries(5, "CAST(2000 * power(2, n - 1) AS BIGINT)"),
+    "retry_stream_fetch": _retries(
+        25, "CASE WHEN error = 'DomainRateLimitError' THEN 1000 ELSE CAST(least(1000 * power(2, n), 30000) AS BIGINT) END"
+    ),
+    "rate_limit_delay_stream": BOOKED
+    + """SELECT id, client, ms, greatest(ms, start) AS ready_ms FROM booked
+      WHERE greatest(ms, start) <= (SELECT max(ms) FROM hits)""",
     "metrics_stream": _with(LOG)
     + """SELECT date_trunc('hour', ts) AS window_start, domain, status, count(*) AS n FROM log
       WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 MINUTE
@@ -349,17 +402,14 @@ ORACLES: dict[str, str] = {
     "url_hash": "SELECT page_id, sha256(url) AS url_hash FROM pages",
     "shard_path": """SELECT page_id, 'html/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h || '.html' AS path
       FROM (SELECT page_id, sha256(url) AS h FROM pages)""",
-    "canonical_urls": """SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]*)(.*)$', 1)) ||
-      CASE WHEN regexp_matches(url, '^https?://[^/?#]*/') THEN '' ELSE '/' END ||
-      regexp_extract(url, '^(https?://[^/?#]*)(.*)$', 2) AS canonical FROM pages""",
+    "canonical_urls": f"SELECT page_id, {CANONICAL} AS canonical FROM pages",
     "rate_keys": f"SELECT page_id, 'ratelimit:domain:' || {HOST.format('url')} AS key FROM pages",
     "request_bodies": "SELECT page_id, url AS from_json, url AS from_form FROM pages",
     "html_store_layout": """SELECT h AS url_hash, substr(h, 1, 2) AS shard1, substr(h, 3, 2) AS shard2,
       'html/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h || '.html' AS path, md5(html) AS html_md5
       FROM (SELECT sha256(url) AS h, html,
               row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS rn FROM pages) WHERE rn = 1""",
-    "page_titles": f"""SELECT page_id, coalesce(nullif(trim({_decoded("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")},
-      ' ' || chr(9) || chr(10) || chr(13)), ''), 'Untitled Document') AS title FROM pages""",
+    "page_titles": f"SELECT page_id, {TITLE} AS title FROM pages",
     "extract_links": _with(LINKS) + "SELECT url, pos, href FROM links",
     "resolve_links": _with(LINKS) + "SELECT url, pos, href, resolved FROM links",
     "scheme_filter": _with(LINKS)

@@ -119,6 +119,19 @@ class Views:
         mapped = self.edges().withColumn("page_id", F.pmod(number, n))
         return mapped.join(pages, "page_id").select("src", F.col("target").alias("dst"))
 
+    def linked_pages(self) -> DataFrame:
+        """Pages with links to other pages written behind their own, so that a crawl gets on."""
+        anchor = F.concat(F.lit('<a href="'), F.replace("dst", F.lit("&"), F.lit("&amp;")), F.lit('">next</a>'))
+        more = self.graph_edges().groupBy(F.col("src").alias("url")).agg(F.array_join(F.array_sort(F.collect_set(anchor)), "").alias("more"))
+        whole = F.concat("html", F.coalesce("more", F.lit("")))
+        return self.pages().join(more, "url", "left").select("url", whole.alias("html"))
+
+    def crawl_seeds(self) -> DataFrame:
+        """Every 25th page, and as many lines that are no URL."""
+        pages = self.pages().where("page_id % 25 = 0")
+        both = F.explode(F.array("url", F.concat(F.lit("no url "), F.col("page_id").cast("string"))))
+        return pages.select(F.col("page_id").cast("string").alias("id"), self._page_time(F.col("page_id")).alias("ts"), both.alias("url"))
+
     def graph_seeds(self) -> DataFrame:
         return self.pages().where("page_id % 25 = 0").select("url")
 

@@ -54,9 +54,19 @@ def write_html_store(
     )
 
 
-def read_html_store(spark: SparkSession, path: str, url: str | None = None) -> DataFrame:
-    """Stored pages, newest version each; one folder only when ``url`` is given."""
+def read_html_store(
+    spark: SparkSession, path: str, url: str | None = None, urls: DataFrame | None = None
+) -> DataFrame:
+    """Stored pages, newest version each; one folder only when ``url`` is given.
+
+    With ``urls`` only the folders of its URLs (256 names at most) and only those pages.
+    """
     stored = spark.read.schema(schemas.STORED_PAGE).parquet(path)
+    if urls is not None:
+        wanted = urls.select(url_hash(F.col("url")).alias("url_hash"))
+        folders = wanted.select(F.substring("url_hash", 1, 2).alias("f")).distinct().collect()
+        stored = stored.where(F.col("shard1").isin(*[r.f for r in folders] or [""]))
+        stored = stored.join(wanted.distinct(), "url_hash", "left_semi")
     if url is not None:
         hashed = url_hash(F.lit(url))
         stored = stored.where(

@@ -9,8 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from crawlkit import schemas
 from crawlkit.functions.times import with_watermark
 from crawlkit.operators.frontier import accepted, first_per_key
-from crawlkit.session import materialize
-from crawlkit.streaming.run import exists, run_id
+from crawlkit.session import forget, materialize
+from crawlkit.sources import keyed
+from crawlkit.streaming.run import run_id
 
 
 def ingest_stream(requests: DataFrame, within: str | None = None) -> DataFrame:
@@ -31,29 +32,34 @@ def ingest_stream_exact(
 ) -> StreamingQuery:
     """Route each micro-batch against all URLs accepted before it.
 
-    ``requests`` needs ``id, ts, url``. The accepted table is also the seen table, so a
-    URL is marked and enqueued by one write. Folders are named by query and batch, which
-    makes a replay idempotent: batch n reads all folders but its own and later ones of
-    the same query, and replaces its own. A new checkpoint is a new query, so it adds to
-    the table that is there. Rows are told apart by a key of their own, not by ``id``,
-    so ids may repeat or be NULL.
+    ``requests`` needs ``id, ts, url``. What was accepted is kept in ``<path>/seen`` as a key
+    table (``sources.keyed``): a batch reads only the hash prefixes of its own URLs, and no
+    URL text. ``seen`` is loaded into it once, before the first batch. Folders are named by
+    query and batch, which makes a replay idempotent: batch n sees all URLs but its own and
+    later ones of the same query, and replaces what it wrote. A new checkpoint is a new
+    query, so it adds to the table that is there. Rows are told apart by a key of their
+    own, not by ``id``, so ids may repeat or be NULL.
     """
+    index = f"{path}/seen"
 
     def route(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = run_id(spark, checkpoint)
-        asked = accepted(batch).select("id", "ts", "url", F.monotonically_increasing_id().alias("row"))
-        candidates = materialize(asked, "candidates")
-        firsts = first_per_key(candidates, ["url"], [F.col("ts"), F.col("id"), F.col("row")])
-        known = _accepted_before(spark, path, run, batch_id)
         if seen is not None:
-            known = known.unionByName(seen.select("url"))
-        # Semi-join first: the batch is the small side, so the seen table is only scanned.
-        known = known.join(firsts.select("url"), "url", "left_semi")
+            keyed.load(keyed.keyed(seen, F.col("url")).select("h").distinct(), index, "given")
+        keyed.compact(spark, index, "", run, batch_id)
+        asked = accepted(batch).select("id", "ts", "url", F.monotonically_increasing_id().alias("row"))
+        candidates = materialize(keyed.keyed(asked, F.col("url")), "candidates")
+        firsts = first_per_key(candidates, ["h"], [F.col("ts"), F.col("id"), F.col("row")])
+        known = keyed.lookup(candidates, index, "", run, batch_id)
         folder = f"run={run}/batch_id={batch_id}"
-        firsts.join(known, "url", "left_anti").write.mode("overwrite").parquet(f"{path}/accepted/{folder}")
-        mine = spark.read.schema("row BIGINT").parquet(f"{path}/accepted/{folder}")
-        candidates.join(mine, "row", "left_anti").write.mode("overwrite").parquet(f"{path}/rejected/{folder}")
+        fresh = firsts.join(known, "h", "left_anti").drop("h")
+        fresh.write.mode("overwrite").parquet(f"{path}/accepted/{folder}")
+        mine = spark.read.schema("url STRING, row BIGINT").parquet(f"{path}/accepted/{folder}")
+        keyed.write(keyed.keyed(mine, F.col("url")).select("h"), index, run, batch_id)
+        rest = candidates.join(mine.select("row"), "row", "left_anti").drop("h")
+        rest.write.mode("overwrite").parquet(f"{path}/rejected/{folder}")
+        forget(candidates)
 
     return (
         requests.writeStream.foreachBatch(route)
@@ -63,14 +69,6 @@ def ingest_stream_exact(
     )
 
 
-def _accepted_before(spark, path: str, run: str, batch_id: int) -> DataFrame:
-    """URLs accepted by other queries and by earlier batches of this one."""
-    if not exists(spark, f"{path}/accepted"):
-        return spark.createDataFrame([], "url STRING")
-    table = read_routed(spark, path, "accepted")
-    return table.where((F.col("run") != run) | (F.col("batch_id") < batch_id)).select("url")
-
-
 def read_routed(spark, path: str, route: str) -> DataFrame:
     """The ``accepted`` or ``rejected`` table of ``ingest_stream_exact``."""
     return spark.read.schema(f"{schemas.INGEST}, run STRING, batch_id BIGINT").parquet(f"{path}/{route}")

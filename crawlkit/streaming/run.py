@@ -13,11 +13,6 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def finish(query: StreamingQuery) -> None:
     """Wait for an ``availableNow`` query; raise what it raised."""
     query.awaitTermination()

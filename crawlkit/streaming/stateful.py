@@ -1,6 +1,6 @@
-"""Keyed state: the limiter and the retry loop.
+"""Keyed state: the limiter.
 
-Both need ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider
+It needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider
 (``use_rocksdb``). A key's rows of one micro-batch are sorted in memory; bound the
 micro-batch at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
@@ -15,16 +15,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from crawlkit.functions.retry import (
-    DOMAIN_LIMIT,
-    FETCH_ATTEMPTS,
-    FETCH_BASE_MS,
-    FETCH_CAP_MS,
-)
-from crawlkit.functions.times import millis, with_watermark
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from crawlkit.functions.times import millis
 from crawlkit.operators.limits import DOMAIN_DURATION_MS, DOMAIN_POINTS
+from crawlkit.sources.files import remove
+from crawlkit.streaming.calendar import Calendar, fields
+from crawlkit.streaming.run import run_id
 
 # The driver starts its own Python worker for stateful processors, and that one does not
 # see files added to the session: send the processors themselves, not their names.
@@ -86,7 +83,8 @@ def rate_limit_stream(
     ``reject``: hits over the limit come out with ``allowed`` false, ``ready_ms`` being
     the end of their window. ``delay``: every hit is allowed, but one over the limit gets
     the start of the next window with a free point as ``ready_ms``; keys do not wait for
-    one another. ``ttl_ms`` forgets idle keys after that much processing time.
+    one another. Such rows come out at once: ``hold_until_ready`` keeps them back.
+    ``ttl_ms`` forgets idle keys after that much processing time.
     """
     hits = df.select(F.col(key).alias("key"), F.col(id).alias("id"), millis(F.col(ts)).alias("ms"))
     out = T.StructType(
@@ -111,92 +109,42 @@ def rate_limit_stream(
     )
 
 
-class _Retry(StatefulProcessor):
-    """Attempts used and the retries not yet due, per job."""
-
-    def __init__(self, cap: int):
-        self.cap = cap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # One value per job: every access to state is a round trip. At most ``cap`` entries.
-        self.job = handle.getValueState(
-            "job", "used BIGINT, due ARRAY<BIGINT>, attempt ARRAY<BIGINT>, error ARRAY<STRING>"
-        )
+def hold_until_ready(limited: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows of ``rate_limit_stream`` under ``<path>/out`` once their ``ready_ms`` has come.
 
-    def _load(self):
-        stored = self.job.get()
-        if stored is None:
-            return 0, []
-        used, due, attempt, error = stored
-        return used, list(zip(due, attempt, error))
+    The clock is the latest ``ms`` seen. Rows ahead of it wait in a calendar, so a key with a
+    long queue holds no other one up, and a waiting row costs neither memory nor state.
+    ``read_ready`` reads what came out, ``read_held`` what waits.
+    """
 
-    def _save(self, used, waiting) -> None:
-        due, attempt, error = map(list, zip(*waiting)) if waiting else ([], [], [])
-        self.job.update((used, due, attempt, error))
+    def route(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        calendar = Calendar(spark, f"{path}/calendar", run_id(spark, checkpoint))
+        home = f"{path}/arrived/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(home)
+        rows = spark.read.schema(batch.schema).parquet(home)
+        since, now = calendar.clock(batch_id, rows.agg(F.max("ms")).first()[0])
+        calendar.hold(rows.where(F.col("ready_ms") > now).withColumn("due_ms", F.col("ready_ms")), batch_id)
+        released = calendar.due(f"{fields(batch)}, due_ms BIGINT", batch_id, since, now).drop("due_ms")
+        ready = rows.where(F.col("ready_ms") <= now).unionByName(released)
+        ready.withColumn("released_ms", F.lit(now)).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        calendar.tidy(since)
+        remove(spark, home)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        used, waiting = self._load()
-        dead = []
-        for ms, _, error in _sorted_rows(rows, "ms", "seq", "error"):
-            used += 1
-            if used >= self.cap:
-                dead.append((key[0], used, error, ms, "dead"))
-                continue
-            wait = FETCH_BASE_MS if error == DOMAIN_LIMIT else FETCH_BASE_MS * 2**used
-            due = ms + min(wait, FETCH_CAP_MS)
-            waiting.append((due, used, error))
-        self._wake(waiting)
-        self._save(used, waiting)
-        if dead:
-            yield self._frame(dead)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        used, waiting = self._load()
-        due = sorted(w for w in waiting if w[0] <= now)
-        if due:
-            waiting = [w for w in waiting if w[0] > now]
-            self._wake(waiting)
-            self._save(used, waiting)
-            yield self._frame([(key[0], n, error, at, "retry") for at, n, error in due])
-
-    def _wake(self, waiting) -> None:
-        """One timer per job: for the earliest retry."""
-        if waiting:
-            self.handle.registerTimer(min(waiting)[0])
-
-    @staticmethod
-    def _frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["job_id", "attempt", "error", "at_ms", "verdict"])
+    return (
+        limited.writeStream.foreachBatch(route)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
-    def close(self) -> None:
-        pass
 
+def read_ready(spark: SparkSession, path: str) -> DataFrame:
+    """What came out, with the clock at that moment as ``released_ms``."""
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
-def retry_stream(
-    failures: DataFrame, cap: int = FETCH_ATTEMPTS, watermark: str = "0 seconds"
-) -> DataFrame:
-    """Failed jobs (``job_id, ts, seq, error``) come back when their delay is over.
 
-    A row with verdict ``retry`` appears once event time passes ``at_ms``; the failure
-    that uses up the cap appears at once as ``dead``. Split them by verdict.
-    """
-    timed = with_watermark(failures, watermark).select(
-        "job_id", "ts", millis(F.col("ts")).alias("ms"), "seq", "error"
-    )
-    out = T.StructType(
-        [timed.schema["job_id"]]
-        + [
-            T.StructField("attempt", T.LongType()),
-            T.StructField("error", T.StringType()),
-            T.StructField("at_ms", T.LongType()),
-            T.StructField("verdict", T.StringType()),
-        ]
-    )
-    return timed.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_Retry(cap),
-        outputStructType=out,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+def read_held(spark: SparkSession, path: str, checkpoint: str, schema: str) -> DataFrame:
+    """What still waits; ``schema`` is that of the limiter's rows."""
+    calendar = Calendar(spark, f"{path}/calendar", run_id(spark, checkpoint))
+    return calendar.waiting(f"{schema}, due_ms BIGINT", calendar.latest()).drop("due_ms")
