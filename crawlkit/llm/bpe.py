@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlkit.llm.common import packed, unpacked
+from crawlkit.llm.resident import occupy
 
 _NONE = 1 << 62
 #: Children of a node of the tree.
 FAN = 16
 #: Pieces remembered in each generation, and their longest length.
-GENERATION = 400_000
+GENERATION = 200_000
 _LONG = 64
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how the vocabulary's file splits text.
@@ -159,10 +160,16 @@ class Bpe:
 
 
 @cache
-def load(path: str) -> Bpe:
+def _loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+def load(path: str) -> Bpe:
+    """The vocabulary of this worker, which the vocabularies and memories of other operators leave."""
+    occupy("bpe", _loaded.cache_clear)
+    return _loaded(path)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every row with ``ids``, an array of integers; NULL and empty texts have none."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlkit.llm.common import packed, unpacked, written
+from crawlkit.llm.common import unpacked, written
 
 BINS = 32
 ROUNDS = 3
@@ -182,11 +182,13 @@ def classify(
     Labels are 1 or 0; of several for one id the majority counts (a tie is 1), NULL ids
     and labels are left out. NULL texts are empty; NULL languages and sources are values
     of their own. Without labels every score is one half. Existing columns of the four
-    names are replaced; an empty table gives no rows.
+    names are replaced; an empty table gives no rows. The text itself is not handed on.
     """
     given = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("key"))
     given = given.agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    whole = packed(docs).withColumns({"key": F.col(f"row.`{doc_id}`"), "t": F.col(f"row.`{text}`")})
+    # The text ends with the bins: what is joined, shuffled and written is narrow.
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c.lower() != text.lower()])
+    whole = docs.select(rest.alias("row"), docs[f"`{text}`"].alias("t")).withColumn("key", F.col(f"row.`{doc_id}`"))
     binned = whole.select("row", "key", F.arrow_udf(_binned, "struct<text:array<int>,page:array<int>>")("t").alias("b"))
     binned = binned.select(
         "row", "key", "b.text", "b.page", F.array(_named(lang, "row"), _named(source, "row")).alias("names")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlkit.llm.common import packed, unpacked, written
+from crawlkit.llm.resident import occupy
 
 LEAST_DOCS = 30
 #: Half octaves of the token count from here on share one group.
@@ -66,6 +67,11 @@ def _piece_vocabulary(path: str) -> tuple[sentencepiece.SentencePieceProcessor,
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
+def _release() -> None:
+    _bytes_vocabulary.cache_clear()
+    _piece_vocabulary.cache_clear()
+
+
 def word_rules(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     tokens = text.encode().split()
@@ -111,6 +117,7 @@ def measure(docs: DataFrame, multi: str, pattern: str, pieces: str, text: str =
     """
 
     def measured(texts: pa.Array) -> pa.Array:
+        occupy("fertility", _release)
         first = _bytes_vocabulary(multi, pattern)
         second, is_byte = _piece_vocabulary(pieces)
         rows = []

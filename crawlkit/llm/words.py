@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from crawlkit.llm.resident import occupy
+
 #: A-Z to a-z, all else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and ASCII other than digits and letters to spaces; bytes from 0x80 belong to words.
@@ -12,7 +14,7 @@ ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
-CACHE = 200_000
+CACHE = 100_000
 
 
 class _Hashes(dict):
@@ -34,6 +36,7 @@ def words(text: str | None, table: bytes) -> list[bytes]:
 
 
 def hashed(tokens: list[bytes]) -> np.ndarray:
+    occupy("words", _hashes.clear)
     return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
