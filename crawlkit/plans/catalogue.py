@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlkit import schemas
 from crawlkit.functions import retry, urls
 from crawlkit.functions.html import page_title
 from crawlkit.functions.times import micros
-from crawlkit.operators import bloom, frontier, graph, jobs, limits, telemetry
+from crawlkit.operators import bloom, frontier, graph, jobs, limits, scaling_bloom, sketches, telemetry
 from crawlkit.plans.views import EPOCH, FETCH_QUEUE, Views
 from crawlkit.session import materialize, scratch
 from crawlkit.sources import io, store
@@ -88,6 +88,32 @@ def bloom_false_positive(v):
     return measured.select("n_seen", "n_unseen", "n_false_negative", (rate < 0.02).alias("rate_in_bound"))
 
 
+APPROX_BATCHES, APPROX_CAPACITY, APPROX_RATE = 3, 512, 0.2
+
+
+def approx_route(v):
+    """Requests in three batches against a filter that starts small, and how often it errs.
+
+    A false positive is a URL that no earlier batch fetched and that is rejected all the
+    same; the first batch meets an empty filter.
+    """
+    home = scratch(v.spark, "approx")
+    seen = scaling_bloom.ScalingBloom(v.spark, f"{home}/seen", APPROX_CAPACITY, APPROX_RATE)
+    for batch in range(APPROX_BATCHES):
+        mine = v.requests().where(F.col("id") % APPROX_BATCHES == batch).select("id", "ts", "url")
+        scaling_bloom.route_approx(mine, seen, batch, f"{home}/routed")
+    routed = scaling_bloom.read_approx(v.spark, home)
+    known = routed.where("route = 'fetch'").groupBy("url").agg(F.min("batch").alias("since"), F.count("*").alias("n_fetched"))
+    per_url = routed.groupBy("batch", "url").agg(F.count_if(F.col("route") == "fetch").alias("n")).join(known, "url", "left")
+    before = F.coalesce(F.col("since") < F.col("batch"), F.lit(False))
+    return per_url.groupBy("batch").agg(
+        F.count("*").alias("n_urls"),
+        F.sum("n").alias("n_fetched"),
+        F.count_if((F.col("n") == 0) & ~before).alias("n_false_positive"),
+        F.count_if((F.col("n") > 0) & before).alias("n_false_negative"),
+    ).withColumn("batch", F.col("batch").cast("bigint"))
+
+
 # --- limits ----------------------------------------------------------------------------
 
 
@@ -172,6 +198,40 @@ def latency_summary(v):
     return out.withColumn("calls_per_sec", F.round("calls_per_sec", 9))
 
 
+def sketch_rollup(v):
+    """Weeks from daily sketches: how far distinct clients and latency ranks are off."""
+    rows = v.requests()
+    merged = materialize(sketches.rollup(materialize(sketches.daily(rows, "client", "value"), "daily"), "week"), "rollup")
+    exact = rows.groupBy(F.date_trunc("week", "ts").cast("date").alias("period")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("client").alias("exact")
+    )
+    with_rank = rows.withColumn("period", F.date_trunc("week", "ts").cast("date")).join(merged, "period")
+    ranks = with_rank.groupBy("period").agg(
+        *[F.avg((F.col("value") <= F.col(f"p{q}")).cast("double")).alias(f"r{q}") for q in (50, 95, 99)]
+    )
+    joined = merged.join(exact, "period").join(ranks, "period")
+    off = F.greatest(*[F.abs(F.col(f"r{q}") - q / 100) for q in (50, 95, 99)])
+    return joined.select(
+        "period", "n", "exact",
+        (F.abs(F.col("n_distinct") - F.col("exact")) * 100 <= F.col("exact") * 3).alias("distinct_within_3_pct"),
+        (off <= 0.02 + 1 / F.col("n_rows")).alias("ranks_within_2_pct"),
+    )
+
+
+def approx_top_throttled(v):
+    """The ten most throttled clients (and ties), and whether the daily sketches' list has each within its bound."""
+    throttled = v.table("events").where("event_type = 'signup'").select("ts", F.col("user_id").alias("client"))
+    daily = materialize(sketches.heavy_sketches(throttled, "client"), "heavy")
+    listed = sketches.heavy_hitters(daily, sketches.COUNTERS)
+    exact = throttled.groupBy("client").agg(F.count("*").alias("exact"))
+    top = exact.withColumn("place", F.rank().over(Window.orderBy(F.desc("exact")))).where("place <= 10")
+    rows = throttled.count()
+    near = F.col("n").between(F.col("exact"), F.col("exact") + F.lit(rows / (0.375 * sketches.COUNTERS)))
+    return top.join(listed, F.col("item") == F.col("client"), "left").select(
+        "client", F.col("exact").alias("n"), F.coalesce(near, F.lit(False)).alias("found")
+    )
+
+
 def failure_windows(v):
     out = telemetry.failure_windows(v.fetch_log(), "1 hour")
     return out.withColumn("error_pct", F.round("error_pct", 6))
@@ -476,7 +536,7 @@ QUERIES: dict[str, Query] = {
     for f in [
         ingest_admit, url_validity, frontier_route, dedup_new_urls, dedup_rejected,
         ingest_counters, seen_cardinality, distinct_urls, accept_ratio, frontier_union,
-        priority_frontier, bloom_false_positive,
+        priority_frontier, bloom_false_positive, approx_route, sketch_rollup, approx_top_throttled,
         rate_limit_first_hit, rate_limit_aligned, polite_plan, crawl_delay_violations,
         hot_domain_share, eligible_domains,
         fetch_outcome, fetches_by_domain_status, throttles_by_domain, success_rate,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from crawlkit.operators import scaling_bloom
+
 REQUESTS = """requests AS (
   SELECT event_id AS id, ts, user_id AS client, value,
     CASE WHEN event_id % 97 <> 0 THEN 'https://docs.developer.com/api/v1/resource/' ||
@@ -182,6 +184,50 @@ CRAWL = _recursive(
       SELECT j.dst FROM reached r JOIN jumps j ON j.src = r.url)""",
 )
 
+def _approx(batches: int, capacity: int, rate: float) -> str:
+    """The same growing filter, bit by bit: one CTE per batch, a layer's shape from its number."""
+    layers = [scaling_bloom.layer_shape(i, capacity, rate) for i in range(10)]
+    shapes = ", ".join(f"({i}, {capacity << i}, {b}, {k})" for i, (b, k) in enumerate(layers))
+
+    def digits(start: int) -> str:
+        return f"CAST('0x' || substr(m, {start}, 8) AS BIGINT)"
+
+    ctes = [
+        f"shapes(layer, capacity, blocks, hashes) AS (VALUES {shapes})",
+        f"asked AS (SELECT DISTINCT id % {batches} AS batch, url FROM accepted)",
+        # Bits of a URL in every layer, as numbers of the layer's whole bit string.
+        f"""marks AS (
+      SELECT url, layer, hashes, {digits(1)} % blocks AS block,
+        unnest(list_transform(range(hashes), lambda i: ({digits(9)} % 4096 + i * (({digits(17)} % 2048) * 2 + 1)) % 4096)) AS p
+      FROM (SELECT url, s.*, md5(layer || ':' || url) AS m FROM (SELECT DISTINCT url FROM asked), shapes s))""",
+        "bits_0 AS (SELECT NULL::INTEGER AS layer, NULL::BIGINT AS block, NULL::BIGINT AS p, NULL::VARCHAR AS url LIMIT 0)",
+    ]
+    for b in range(batches):
+        ctes += [
+            f"""maybe_{b} AS (
+      SELECT DISTINCT url FROM (
+        SELECT m.url, m.layer FROM marks m JOIN (SELECT DISTINCT layer, block, p FROM bits_{b}) x USING (layer, block, p)
+        WHERE m.url IN (SELECT url FROM asked WHERE batch = {b}) GROUP BY m.url, m.layer, m.hashes HAVING count(*) = m.hashes))""",
+            f"fresh_{b} AS (SELECT url FROM asked WHERE batch = {b} AND url NOT IN (SELECT url FROM maybe_{b}))",
+            f"""layer_{b} AS (
+      SELECT min(s.layer) AS layer FROM shapes s
+      WHERE s.layer >= coalesce((SELECT max(layer) FROM bits_{b}), 0)
+        AND (SELECT count(*) FROM fresh_{b}) + (SELECT count(DISTINCT url) FROM bits_{b} x WHERE x.layer = s.layer) <= s.capacity)""",
+            f"""bits_{b + 1} AS (
+      SELECT layer, block, p, url FROM bits_{b}
+      UNION ALL SELECT m.layer, m.block, m.p, m.url FROM marks m JOIN fresh_{b} USING (url) WHERE m.layer = (SELECT layer FROM layer_{b}))""",
+        ]
+    routed = " UNION ALL ".join(f"SELECT {b} AS batch, url FROM fresh_{b}" for b in range(batches))
+    ctes.append(f"fetched AS ({routed})")
+    return _with(REQUESTS, *[c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes]) + """
+      SELECT a.batch, count(*) AS n_urls, count(f.url) AS n_fetched,
+        count(*) FILTER (f.url IS NULL AND NOT EXISTS (SELECT 1 FROM fetched e WHERE e.url = a.url AND e.batch < a.batch))
+          AS n_false_positive,
+        count(*) FILTER (f.url IS NOT NULL AND EXISTS (SELECT 1 FROM fetched e WHERE e.url = a.url AND e.batch < a.batch))
+          AS n_false_negative
+      FROM asked a LEFT JOIN fetched f ON f.url = a.url AND f.batch = a.batch GROUP BY a.batch"""
+
+
 # Every hit takes a point; a full window hands on to the next one, which may lie ahead of the hit.
 BOOKED = _recursive(
     """hits AS (
@@ -250,6 +296,13 @@ ORACLES: dict[str, str] = {
     "crawl_stream": _with(LINKS)
     + """SELECT url, md5(html) AS html_md5, 1 AS n FROM pages
       UNION ALL SELECT dst, NULL, count(*) FROM edges GROUP BY dst""",
+    "approx_route": _approx(3, 512, 0.2),
+    "sketch_rollup": _with(REQUESTS)
+    + """SELECT CAST(date_trunc('week', ts) AS DATE) AS period, count(*) AS n, count(DISTINCT client) AS exact,
+      true AS distinct_within_3_pct, true AS ranks_within_2_pct FROM requests GROUP BY ALL""",
+    "approx_top_throttled": _with(LOG)
+    + """SELECT user_id AS client, count(*) AS n, true AS found FROM events WHERE event_type = 'signup'
+      GROUP BY user_id QUALIFY rank() OVER (ORDER BY n DESC) <= 10""",
     "crawl_loop": CRAWL
     + f"""SELECT r.url, CASE WHEN NOT regexp_matches(r.url, '^https?://') THEN 'discarded'
         WHEN p.url IS NULL THEN 'failed' ELSE 'stored' END AS outcome,
