@@ -19,8 +19,10 @@ EDGE_OR_BREAK = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 HTTP_AUTHORITY = r"(?is)^https?:[/\\]*([^/\\?#]*)"
 HOST_IN_AUTHORITY = (
-    r"(?is)^(?:.*@)?(\[[0-9a-f:.]+\]|[^:\x00-\x20#/<>?@\[\\\]^|%\x7f]+)(?::[0-9]*)?$"
+    r"(?is)^(?:.*@)?(\[[0-9a-f:.]+\]|[^:\x00-\x20#/<>?@\[\\\]^|\x7f]+)(?::[0-9]*)?$"
 )
+#: A host once its escapes are decoded.
+DECODED_HOST = r"^(?:\[[0-9a-f:.]+\]|[^:\x00-\x20#/<>?@\[\\\]^|%\x7f]+)$"
 PORT_IN_AUTHORITY = r":([0-9]+)$"
 USERINFO_IN_AUTHORITY = r"(?s)^(.+@)"
 NUMERIC_HOST = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$"
@@ -53,16 +55,58 @@ def _blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+def _decoded_host(host: Column) -> Column:
+    """``host`` without percent escapes; NULL where that leaves what no host may hold."""
+    text = F.lower(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))))
+    return F.when(~host.contains("%"), host).otherwise(let(text, lambda t: F.when(t.rlike(DECODED_HOST), t)))
+
+
+def ipv4_number(part: Column) -> Column:
+    """Value of one part of a numeric host: hexadecimal, octal or decimal; NULL if it is none or too long."""
+    digits = F.regexp_replace(part, "^0x0*|^0+(?=.)", "")
+    return (
+        F.when(part.rlike("^0x0*[0-9a-f]{0,8}$"), F.conv(F.concat(F.lit("0"), digits), 16, 10))
+        .when(part.rlike("^00*[0-7]{0,11}$"), F.conv(digits, 8, 10))
+        .when(part.rlike("^[1-9][0-9]{0,9}$"), part)
+        .cast("bigint")
+    )
+
+
+def ipv4_host(host: Column) -> Column:
+    """Dotted form of a host whose last label is a number (``127.1``, ``0x7f000001``, ``017700000001``).
+
+    Up to four numbers; the last one fills the bytes that are left. NULL if it is no address.
+    """
+
+    def build(numbers):
+        n = F.size(numbers)
+        last = F.element_at(numbers, -1)
+        head = F.slice(numbers, F.lit(1), n - 1)
+        fits = F.forall(numbers, lambda x: x.isNotNull()) & F.forall(head, lambda x: x <= 255)
+        fits = fits & (last < F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4))))
+        rest = F.aggregate(
+            F.reverse(head), F.lit(0).cast("bigint"), lambda total, x: F.floor(total / 256).cast("bigint") + x * 2**24
+        )
+        octets = [F.pmod(F.floor((rest + last) / 256**k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]
+        return F.when((n <= 4) & F.coalesce(fits, F.lit(False)), F.concat_ws(".", *octets))
+
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.", -1)
+    return let(F.transform(parts, ipv4_number), build)
+
+
 def authority_host(authority: Column) -> Column:
-    """Lower-case host of ``user@host:port``; NULL if the authority does not parse."""
+    """Lower-case host of ``user@host:port``; NULL if the authority does not parse.
+
+    Percent escapes are decoded, and hosts that end in a number become dotted addresses.
+    """
 
     def check(part):
-        address = ~part["host"].rlike(NUMERIC_HOST) | part["host"].rlike(DOTTED_QUAD)
+        address = F.when(~part["host"].rlike(NUMERIC_HOST) | part["host"].rlike(DOTTED_QUAD), part["host"])
         port = part["port"].isNull() | (part["port"].try_cast("bigint") <= MAX_PORT)
-        return F.when(address & port, part["host"])
+        return F.when(port, F.coalesce(address, ipv4_host(part["host"])))
 
     port = _blank_to_null(F.regexp_extract(authority, PORT_IN_AUTHORITY, 1))
-    host = _blank_to_null(F.lower(F.regexp_extract(authority, HOST_IN_AUTHORITY, 1)))
+    host = let(_blank_to_null(F.lower(F.regexp_extract(authority, HOST_IN_AUTHORITY, 1))), _decoded_host)
     return let(F.struct(host.alias("host"), port.alias("port")), check)
 
 

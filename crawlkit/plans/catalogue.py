@@ -334,6 +334,23 @@ def url_host(v):
     return v.pages().select("page_id", urls.url_host(F.col("url")).alias("host"))
 
 
+def host_forms(v):
+    """Hosts written as numbers (whole, hexadecimal, octal, two parts) and with percent escapes."""
+    n = F.pmod(F.col("page_id") * F.lit(7_919_000_003), F.lit(2**33))
+    plain = urls.url_host(F.col("url"))
+    forms = {
+        "whole": n.cast("string"),
+        "hexadecimal": F.concat(F.lit("0x"), F.hex(n)),
+        "octal": F.concat(F.lit("0"), F.conv(n.cast("string"), 10, 8)),
+        "two": F.concat(F.lit("10."), F.pmod(n, F.lit(2**25)).cast("string")),
+        "escaped": F.concat(F.lit("%"), F.hex(F.ascii(plain).cast("bigint")), F.substr(plain, F.lit(2))),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), t.alias("text")) for k, t in forms.items()])).alias("f")
+    rows = v.pages().select("page_id", each).select("page_id", "f.*")
+    written = F.concat(F.lit("HTTP://"), F.col("text"), F.lit(":80/a"))
+    return rows.select("page_id", "form", urls.url_host(written).alias("host"), urls.valid_url(written).alias("valid"))
+
+
 def url_hash(v):
     return v.pages().select("page_id", urls.url_hash(F.col("url")).alias("url_hash"))
 
@@ -545,7 +562,7 @@ QUERIES: dict[str, Query] = {
         active_workers, queue_status, latest_job_states, queue_gauges, reconcile_loss,
         log_level_counts, metrics_export,
         retention, attempts, dead_letters, retry_schedule, fetch_backoff, error_classes,
-        url_host, url_hash, shard_path, canonical_urls, rate_keys, request_bodies,
+        url_host, host_forms, url_hash, shard_path, canonical_urls, rate_keys, request_bodies,
         html_store_layout, page_titles, extract_links, resolve_links, scheme_filter,
         link_edges, link_stats, link_in_degree, top_hubs, crawl_depth, crawl_growth,
         frontier_fetch, new_links_by_host,

@@ -452,6 +452,16 @@ ORACLES: dict[str, str] = {
         WHEN k >= 10 THEN 404 ELSE 429 END AS status_code
       FROM failures""",
     "url_host": f"SELECT page_id, {HOST.format('url')} AS host FROM pages",
+    "host_forms": f"""WITH numbers AS (SELECT page_id, {HOST.format("url")} AS plain, page_id * 7919000003 % 8589934592 AS n FROM pages),
+      forms AS (
+        SELECT page_id, unnest(['whole', 'hexadecimal', 'octal', 'two']) AS form, unnest([n, n, n, n % 33554432]) AS x FROM numbers),
+      hosts AS (
+        SELECT page_id, form, CASE WHEN form = 'two' THEN
+            CASE WHEN x < 16777216 THEN concat_ws('.', 10, x // 65536, x // 256 % 256, x % 256) END
+          WHEN x < 4294967296 THEN concat_ws('.', x // 16777216, x // 65536 % 256, x // 256 % 256, x % 256) END AS host
+        FROM forms
+        UNION ALL SELECT page_id, 'escaped', plain FROM numbers)
+      SELECT page_id, form, host, host IS NOT NULL AS valid FROM hosts""",
     "url_hash": "SELECT page_id, sha256(url) AS url_hash FROM pages",
     "shard_path": """SELECT page_id, 'html/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h || '.html' AS path
       FROM (SELECT page_id, sha256(url) AS h FROM pages)""",

@@ -165,3 +165,20 @@ def test_tags_that_never_close_are_read_once(spark):
     began = time.time()
     found = df.select(html.extract_hrefs(F.col("html")).alias("links"), html.page_title(F.col("html")).alias("title")).collect()
     assert [r.links for r in found] == [[], ["/in"]] and time.time() - began < 10
+
+
+# Written host, and what a browser makes of it.
+FORMS = [
+    ("127.1", "127.0.0.1"), ("0x7f000001", "127.0.0.1"), ("017700000001", "127.0.0.1"), ("2130706433", "127.0.0.1"),
+    ("1.2.3", "1.2.0.3"), ("0x.0x0.0", "0.0.0.0"), ("1.2.3.4.", "1.2.3.4"), ("4294967295", "255.255.255.255"),
+    ("4294967296", None), ("1.2.3.256", None), ("1.256.3.4", None), ("1.2.3.4.5", None), ("08", None), ("a.0x", None),
+    ("1..2", None), ("0xffffffffff", None), ("99999999999999999999", None), ("256.1", None), ("255.16777215", "255.255.255.255"),
+    ("%65x.com", "ex.com"), ("%45X.com", "ex.com"), ("e%2fx.com", None), ("e%zz.com", None), ("a+b.com", "a+b.com"), ("%31", "0.0.0.1"),
+    ("a%20b.com", None), ("h1", "h1"),
+]
+
+
+def test_hosts_as_numbers_and_with_escapes(spark):
+    df = spark.createDataFrame([(i, f"http://{h}:8080/") for i, (h, _) in enumerate(FORMS)], "i INT, url STRING")
+    got = {r.i: r.h for r in df.select("i", urls.url_host(F.col("url")).alias("h")).collect()}
+    assert {FORMS[i][0]: h for i, h in got.items()} == dict(FORMS)

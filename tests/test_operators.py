@@ -287,3 +287,40 @@ def test_limiter_keys_of_64_bits(spark):
 def test_seeds_have_ids(spark):
     seeds = io.seed_frontier(spark.createDataFrame([("http://h/1",), ("http://h/2",)], "url STRING"), F.lit(T0))
     assert seeds.columns == ["id", "ts", "url"] and seeds.where("id is not null").select("id").distinct().count() == 2
+
+
+def test_scaling_bloom_opens_layers_and_forgets_nothing(spark, tmp_path):
+    from crawlkit.operators import scaling_bloom
+
+    seen = scaling_bloom.ScalingBloom(spark, f"{tmp_path}/seen", capacity=50, fpr=0.05)
+    for batch in range(3):
+        urls = [(f"{batch}-{i}", f"http://h/{i}") for i in range(batch * 60, batch * 60 + 100)]
+        rows = spark.createDataFrame(urls * 2 + [("none", None)], "id STRING, url STRING").withColumn("ts", F.lit(0))
+        for _ in range(2):  # every batch is replayed
+            scaling_bloom.route_approx(rows, seen, batch, f"{tmp_path}/routed")
+    routed = scaling_bloom.read_approx(spark, f"{tmp_path}").collect()
+    assert len(routed) == 600
+    fetched = [r.url for r in routed if r.route == "fetch"]
+    assert len(fetched) == len(set(fetched)) and len(set(fetched)) >= 0.9 * 220
+    filled = seen.filled(3)
+    assert all(n <= 50 << layer for layer, n in filled.items()) and len(filled) > 1 and sum(filled.values()) == len(fetched)
+    before = {layer: sorted(map(tuple, seen.words(layer, 3).collect())) for layer in filled}
+    seen.compact(3, most=0)
+    assert {layer: sorted(map(tuple, seen.words(layer, 3).collect())) for layer in filled} == before
+    probes = spark.createDataFrame([(u,) for u in fetched], "url STRING")
+    assert seen.maybe_seen(probes, 3).count() == len(fetched)
+
+
+def test_daily_sketches_answer_for_months(spark):
+    from crawlkit.operators import sketches
+
+    days = spark.range(60).select(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int))").alias("ts"), "id")
+    rows = days.select("ts", F.explode(F.sequence(F.col("id") * 100, F.col("id") * 100 + 199)).alias("k"))
+    merged = sketches.rollup(sketches.daily(rows, "k", "k")).orderBy("period").collect()
+    assert [r.n for r in merged] == [31 * 200, 29 * 200]
+    assert abs(merged[0].n_distinct - 3200) <= 0.03 * 3200 and abs(merged[1].n_distinct - 3000) <= 0.03 * 3000
+    assert abs(merged[0].p50 - 1600) <= 0.03 * 3200
+    skewed = rows.unionByName(rows.withColumn("k", F.col("k") % 3))
+    top = sketches.heavy_hitters(sketches.heavy_sketches(skewed, "k"), 3, 1024).collect()
+    assert {r.item for r in top} == {0, 1, 2}
+    assert all(4000 <= r.n <= 4002 + 24000 / (0.375 * 1024) for r in top)
