@@ -55,43 +55,35 @@ def _blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def _decoded_host(host: Column) -> Column:
-    """``host`` without percent escapes; NULL where that leaves what no host may hold."""
-    text = F.lower(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))))
-    return F.when(~host.contains("%"), host).otherwise(let(text, lambda t: F.when(t.rlike(DECODED_HOST), t)))
-
-
-def ipv4_number(part: Column) -> Column:
-    """Value of one part of a numeric host: hexadecimal, octal or decimal; NULL if it is none or too long."""
-    digits = F.regexp_replace(part, "^0x0*|^0+(?=.)", "")
-    return (
-        F.when(part.rlike("^0x0*[0-9a-f]{0,8}$"), F.conv(F.concat(F.lit("0"), digits), 16, 10))
-        .when(part.rlike("^00*[0-7]{0,11}$"), F.conv(digits, 8, 10))
-        .when(part.rlike("^[1-9][0-9]{0,9}$"), part)
-        .cast("bigint")
-    )
+def _sql_let(value: Column, body: str) -> Column:
+    """``let`` with a body in SQL over ``h``: one call to build, however long it is."""
+    return F.call_function("transform", F.array(value), F.expr(f"h -> {body}"))[0]
 
 
-def ipv4_host(host: Column) -> Column:
-    """Dotted form of a host whose last label is a number (``127.1``, ``0x7f000001``, ``017700000001``).
+#: ``h`` without percent escapes; NULL where that leaves what no host may hold.
+_DECODED = f"""CASE WHEN contains(h, '%') THEN
+  transform(array(lower(try_url_decode(replace(h, '+', '%2B')))), t -> CASE WHEN t RLIKE r'{DECODED_HOST}' THEN t END)[0]
+  ELSE h END"""
 
-    Up to four numbers; the last one fills the bytes that are left. NULL if it is no address.
-    """
+#: Value of one part of a numeric host: hexadecimal, octal or decimal; NULL if it is none or too long.
+_IPV4_NUMBER = r"""CAST(CASE
+  WHEN p RLIKE r'^0x0*[0-9a-f]{0,8}$' THEN conv(concat('0', regexp_replace(p, r'^0x0*', '')), 16, 10)
+  WHEN p RLIKE r'^00*[0-7]{0,11}$' THEN conv(regexp_replace(p, r'^0+(?=.)', ''), 8, 10)
+  WHEN p RLIKE r'^[1-9][0-9]{0,9}$' THEN p END AS BIGINT)"""
 
-    def build(numbers):
-        n = F.size(numbers)
-        last = F.element_at(numbers, -1)
-        head = F.slice(numbers, F.lit(1), n - 1)
-        fits = F.forall(numbers, lambda x: x.isNotNull()) & F.forall(head, lambda x: x <= 255)
-        fits = fits & (last < F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4))))
-        rest = F.aggregate(
-            F.reverse(head), F.lit(0).cast("bigint"), lambda total, x: F.floor(total / 256).cast("bigint") + x * 2**24
-        )
-        octets = [F.pmod(F.floor((rest + last) / 256**k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]
-        return F.when((n <= 4) & F.coalesce(fits, F.lit(False)), F.concat_ws(".", *octets))
+#: The address that the numbers ``n`` make: up to four, of which the last fills the bytes left.
+_IPV4_VALUE = """CASE WHEN size(n) <= 4 AND forall(n, x -> x IS NOT NULL) AND forall(slice(n, 1, size(n) - 1), x -> x <= 255)
+    AND element_at(n, -1) < element_at(array(4294967296L, 16777216L, 65536L, 256L), least(size(n), 4))
+  THEN element_at(n, -1) + aggregate(reverse(slice(n, 1, size(n) - 1)), 0L, (total, x) -> total div 256 + x * 16777216L) END"""
 
-    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.", -1)
-    return let(F.transform(parts, ipv4_number), build)
+_IPV4 = f"""transform(array(transform(split(regexp_replace(h, r'\\.$', ''), r'\\.', -1), p -> {_IPV4_NUMBER})), n ->
+  transform(array({_IPV4_VALUE}), v -> CASE WHEN v IS NOT NULL THEN
+    concat_ws('.', v div 16777216, v div 65536 % 256, v div 256 % 256, v % 256) END)[0])[0]"""
+
+
+def ipv4_host(host: Column) -> Column:
+    """Dotted form of a host whose last label is a number (``127.1``, ``0x7f000001``, ``017700000001``); NULL if it is no address."""
+    return _sql_let(host, _IPV4)
 
 
 def authority_host(authority: Column) -> Column:
@@ -106,7 +98,7 @@ def authority_host(authority: Column) -> Column:
         return F.when(port, F.coalesce(address, ipv4_host(part["host"])))
 
     port = _blank_to_null(F.regexp_extract(authority, PORT_IN_AUTHORITY, 1))
-    host = let(_blank_to_null(F.lower(F.regexp_extract(authority, HOST_IN_AUTHORITY, 1))), _decoded_host)
+    host = _sql_let(_blank_to_null(F.lower(F.regexp_extract(authority, HOST_IN_AUTHORITY, 1))), _DECODED)
     return let(F.struct(host.alias("host"), port.alias("port")), check)
 
 

@@ -21,6 +21,8 @@ def local_session(cores: int | str = 8, name: str = "crawlkit") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Long column expressions: noting the call site of every part takes longer than building them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     return prepare(spark)
