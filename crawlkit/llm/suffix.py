@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlkit.llm.common import discard, packed, unpacked, written
+from crawlkit.llm.common import HEAVY, discard, packed, unpacked, written
 
 LENGTH = 400
 GRAM = 16
@@ -50,6 +50,8 @@ REACH = SPACE + GRAM - 1
 DEPTH = 24
 CELL = 32
 FAR = 1 << 30
+#: Tasks over which the rows of one heavy symbol are dealt.
+SALTS = 64
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -303,11 +305,26 @@ def _ranked(distinct: DataFrame, keys: list[str], out: str) -> DataFrame:
     return written(placed.withColumn(out, F.monotonically_increasing_id()), "ranks")
 
 
+def _repeating(each: DataFrame, often: DataFrame) -> DataFrame:
+    """Rows of ``each`` whose symbol is in ``often`` (one row per symbol, ``f`` times in ``each``).
+
+    A symbol with more than 1 / HEAVY of these rows is dealt over SALTS tasks. There are
+    fewer than HEAVY of them, so the table that marks them is broadcast.
+    """
+    total = often.agg(F.sum("f")).first()[0] or 0
+    heavy = often.where(F.col("f") * HEAVY > total).select("sym", F.lit(SALTS).alias("salts"))
+    every = F.coalesce("salts", F.lit(1))
+    dealt = each.join(F.broadcast(heavy), "sym", "left").withColumn("salt", F.pmod(F.xxhash64("rid", "t"), every).cast("int"))
+    copies = often.select("sym", F.when(F.col("f") * HEAVY > total, SALTS).otherwise(1).alias("n"))
+    copies = copies.select("sym", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+    return dealt.drop("salts").join(copies, ["sym", "salt"]).drop("salt")
+
+
 def reaches(symbols: DataFrame) -> DataFrame:
     """(rid, pos, reach) of the suffixes at anchors, from ``rid, pos, len, sym`` arrays per text."""
     each = symbols.select("rid", F.posexplode(F.arrays_zip("pos", "len", "sym")).alias("t", "x")).select("rid", "t", "x.*")
-    often = each.groupBy("sym").agg(F.count("*").alias("f")).where("f > 1").select("sym")
-    live = each.join(often, "sym").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("t", "pos", "len", "sym"))).alias("live"))
+    often = written(each.groupBy("sym").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    live = _repeating(each, often).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("t", "pos", "len", "sym"))).alias("live"))
     runs = written(live.select("rid", F.inline(F.arrow_udf(_runs, RUNS)("live"))), "runs")
 
     triple = ["sym", "s1", "s2"]
@@ -326,7 +343,7 @@ def reaches(symbols: DataFrame) -> DataFrame:
         _neighbours, "rid bigint, pos int, reach int, edge int, part int, sym array<bigint>, len array<int>"
     )
     met = written(met, "reach")
-    discard(runs, names, entries, ranks)
+    discard(often, runs, names, entries, ranks)
     both = met.where("edge is null").select("rid", "pos", "reach").unionByName(_edges(met))
     return both.groupBy("rid", "pos").agg(F.max("reach").alias("reach")).where("reach > 0")
 
@@ -387,9 +404,15 @@ RESULT = "struct<spans:array<struct<start:int,end:int>>,kept:binary>"
 
 
 def _cut(texts: pa.Array, firsts: pa.Array) -> pa.Array:
-    """Maximal removed runs and the bytes that stay; input: first and last start of repeated strings."""
+    """Maximal removed runs and the bytes that stay; input: first and last start of repeated strings.
+
+    A NULL list gives NULL: that row's text is not cut.
+    """
     rows = []
     for text, spans in zip(texts, firsts, strict=True):
+        if not spans.is_valid:
+            rows.append(None)
+            continue
         data = _bytes(text)
         change = np.zeros(len(data) + 1, np.int64)
         np.add.at(change, np.asarray(spans.values.field("first")), 1)
@@ -441,19 +464,22 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     single = strings.join(_repeated(strings, "f1", "f2"), ["f1", "f2"]).select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
     found = judged.where("again").select("rid", "first", "last").unionByName(single)
-    by_text = found.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    cut = written(texts.join(by_text, "rid").select("rid", F.arrow_udf(_cut, RESULT)("t", "found").alias("cut")), "cut")
-    discard(judged, strings)
+    found = found.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     # A text with copies goes as a whole, and all of its rows with it.
     many = equal.where("copies > 1").select("hi", "lo", F.lit(True).alias("many"))
-    marks = rows.select("rid", "hi", "lo").join(many, ["hi", "lo"]).select("rid", "many").join(cut, "rid", "full_outer")
+    marks = rows.select("rid", "hi", "lo").join(many, ["hi", "lo"]).select("rid", "many").join(found, "rid", "full_outer")
     joined = rows.select("rid", "row", "n").join(marks, "rid", "left")
+    gone = F.coalesce("many", F.lit(False))
+    touched = ~gone & F.col("found").isNotNull()
+    # Only texts that lose some of their bytes go to the workers.
+    cut = F.arrow_udf(_cut, RESULT)(F.when(touched, F.col(f"row.`{text}`")), F.when(touched, F.col("found")))
+    joined = joined.withColumns({"cut": cut, "touched": touched})
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    gone = F.coalesce("many", F.lit(False))
+    whole = F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary")
     return unpacked(
         joined,
         n_bytes=F.col("n"),
-        spans=F.when(gone, all_of_it).otherwise(F.coalesce("cut.spans", none)),
-        kept=F.when(gone, F.lit(b"")).otherwise(F.coalesce("cut.kept", F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary"))),
+        spans=F.when(gone, all_of_it).when(F.col("touched"), F.col("cut.spans")).otherwise(none),
+        kept=F.when(gone, F.lit(b"")).when(F.col("touched"), F.col("cut.kept")).otherwise(whole),
     )
