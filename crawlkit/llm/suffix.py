@@ -152,81 +152,101 @@ def _symbols(texts: pa.Array) -> pa.Array:
     )
 
 
-RUNS = "array<struct<run:int,i:int,pos:int,len:int,sym:bigint,s1:bigint,s2:bigint>>"
-ENTRIES = "array<struct<pos:int,list:int,k1:bigint,k2:bigint,nh:bigint,own:bigint,names:array<bigint>,sym:array<bigint>,len:array<int>>>"
+LIST = {"names": pa.list_(pa.int64()), "sym": pa.list_(pa.int64()), "len": pa.list_(pa.int32())}
+RUNS = pa.schema([(n, pa.int64() if n in ("rid", "sym", "s1", "s2") else pa.int32()) for n in ("rid", "run", "i", "pos", "len", "sym", "s1", "s2")])
+ENTRIES = pa.schema(
+    [("rid", pa.int64()), ("pos", pa.int32()), ("list", pa.int32()), *[(n, pa.int64()) for n in ("k1", "k2", "nh", "own")], *LIST.items()]
+)
+RUNS_SQL = "rid bigint, run int, i int, pos int, len int, sym bigint, s1 bigint, s2 bigint"
+ENTRIES_SQL = (
+    "rid bigint, pos int, list int, k1 bigint, k2 bigint, nh bigint, own bigint, names array<bigint>, sym array<bigint>, len array<int>"
+)
 #: Follows the last symbol of a run and sorts before all symbols.
 END = np.iinfo(np.int64).min
+#: Suffixes whose lists are built at once: bounds a worker's memory whatever the length of a text.
+BLOCK = 1 << 16
 
 
-def _structs(kind: str, rows: list[list[tuple]]) -> pa.Array:
-    """Lists of tuples as an Arrow array of the Spark type ``kind`` (array of flat structs)."""
-    arrow = {"int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-    fields = [f.split(":") for f in kind.removeprefix("array<struct<").removesuffix(">>").split(",")]
-    flat = list(zip(*[r for found in rows for r in found], strict=True)) or [()] * len(fields)
-    structs = pa.StructArray.from_arrays([pa.array(c, arrow[k]) for c, (_, k) in zip(flat, fields, strict=True)], [n for n, _ in fields])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), structs)
+def _opened(batch: pa.RecordBatch, column: str, *fields: str) -> list[np.ndarray]:
+    """``rid`` and the fields of a list of structs, one element per struct."""
+    lists, values = batch[column], batch[column].flatten()
+    rid = np.repeat(batch["rid"].to_numpy(), lists.value_lengths().to_numpy())
+    return [rid, *[values.field(f).to_numpy() for f in fields]]
 
 
-def _fields(row: pa.Scalar, *names: str) -> list[np.ndarray]:
-    return [np.asarray(row.values.field(n)) for n in names]
+def _bounds(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each element's group; ``new`` marks the first of a group."""
+    firsts = np.flatnonzero(new)
+    ends = np.concatenate([firsts[1:], [len(new)]])
+    group = np.cumsum(new) - 1
+    return firsts[group], ends[group]
 
 
-def _runs(symbols: pa.Array) -> pa.Array:
+def _ahead(values: np.ndarray, at: np.ndarray, end: np.ndarray, missing: int) -> np.ndarray:
+    """``values`` at the places ``at``, or ``missing`` from ``end`` on."""
+    return np.where(at < end, values[np.minimum(at, len(values) - 1)], missing)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of symbols in a row that are long enough to hold the anchors of a repeated string."""
-    out = []
-    for row in symbols:
-        t, pos, size, sym = _fields(row, "t", "pos", "len", "sym")
-        found = []
-        for run in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t) != 1) + 1):
-            if size[run].sum() >= LENGTH - REACH - SPACE + 1:
-                ahead = np.concatenate([sym[run], [END, END]])
-                n = len(run)
-                found += zip(
-                    [int(t[run[0]])] * n, range(n), pos[run].tolist(), size[run].tolist(),
-                    ahead[:n].tolist(), ahead[1 : n + 1].tolist(), ahead[2:].tolist(), strict=True,
-                )
-        out.append(found)
-    return _structs(RUNS, out)
-
-
-def _digest(values: np.ndarray) -> int:
-    return int(np.frombuffer(xxhash.xxh3_64_digest(values.tobytes()), np.int64)[0]) or 1  # 0: past the end
-
-
-def _run_entries(pos: np.ndarray, size: np.ndarray, sym: np.ndarray, name: np.ndarray) -> list[tuple]:
-    """The two list entries of each suffix of one run."""
-    n = len(sym)
-    total = np.concatenate([[0], np.cumsum(size)])
-    last = np.minimum(np.searchsorted(total, total[:-1] + LENGTH), np.minimum(np.arange(n) + DEPTH, n))
-    names = [name[i : last[i] : 3] if i % 3 else None for i in range(n)]
-    keys = [_digest(x) if x is not None else 0 for x in names]
-
-    def entry(i: int, which: int, k1: int, k2: int, ahead: int) -> tuple:
-        nh = keys[i + ahead] if i + ahead < n else 0
-        own, chain = (nh, names[i]) if which == 0 else (0, [])
-        return (int(pos[i]), which, k1, k2, nh, own, chain, sym[i : last[i]], size[i : last[i]])
-
-    out = []
-    for i in range(n):
-        s = int(sym[i])
-        if i % 3:
-            out.append(entry(i, 0, 0, 0, 0))
-        if i % 3 != 2:
-            out.append(entry(i, 1, s, 0, 1))
-        if i % 3 != 1:
-            out.append(entry(i, 2, s, int(sym[i + 1]) if i + 1 < n else int(END), 2))
-    return out
-
-
-def _entries(named: pa.Array) -> pa.Array:
-    out = []
-    for row in named:
-        run, pos, size, sym, name = _fields(row, "run", "pos", "len", "sym", "name")
-        found = []
-        for part in np.split(np.arange(len(run)), np.flatnonzero(np.diff(run) != 0) + 1):
-            found += _run_entries(pos[part], size[part], sym[part], name[part])
-        out.append(found)
-    return _structs(ENTRIES, out)
+    for batch in batches:
+        rid, t, pos, size, sym = _opened(batch, "live", "t", "pos", "len", "sym")
+        if not len(t):
+            continue
+        start, end = _bounds(np.concatenate([[True], (np.diff(t) != 1) | (np.diff(rid) != 0)]))
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        at = np.flatnonzero(total[end] - total[start] >= LENGTH - REACH - SPACE + 1)
+        ahead = [_ahead(sym, at + k, end[at], END) for k in (1, 2)]
+        columns = [rid[at], t[start[at]], at - start[at], pos[at], size[at], sym[at], *ahead]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUNS, strict=True)], schema=RUNS)
+
+
+def _chains(name: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each suffix's next names (every third up to ``last``); 0 is kept for past the end."""
+    at = np.arange(len(name))
+    h = np.zeros(len(name), np.uint64)
+    for step in range(0, DEPTH, 3):
+        on = np.flatnonzero(at + step < last)
+        h[on] = _mix(h[on] * np.uint64(_BASES[1]) + name[on + step].astype(np.uint64) + np.uint64(_BASES[0]))
+    return np.where(h == 0, np.uint64(1), h).view(np.int64)
+
+
+def _sliced(values: np.ndarray, kind: pa.DataType, first: np.ndarray, last: np.ndarray, step: int = 1) -> pa.Array:
+    """Lists ``values[first:last:step]``."""
+    sizes = -(-(last - first) // step)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(first - step * offsets[:-1], sizes) + step * np.arange(offsets[-1])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[at], kind.value_type))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The two list entries of each suffix."""
+    for batch in batches:
+        rid, run, pos, size, sym, name = _opened(batch, "named", "run", "pos", "len", "sym", "name")
+        if not len(run):
+            continue
+        start, end = _bounds(np.concatenate([[True], (np.diff(run) != 0) | (np.diff(rid) != 0)]))
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        place = np.arange(len(run))
+        last = np.minimum(np.searchsorted(total, total[:-1] + LENGTH), np.minimum(place + DEPTH, end))
+        keys = _chains(name, last)
+        turn = (place - start) % 3
+        for lo in range(0, len(run), BLOCK):
+            some = place[lo : lo + BLOCK]
+            for which, out in ((0, 0), (1, 2), (2, 1)):  # each list leaves one turn out
+                at = some[turn[some] != out]
+                none = np.zeros(len(at), np.int64)
+                nh = _ahead(keys, at + which, end[at], 0)
+                k1 = sym[at] if which else none
+                k2 = _ahead(sym, at + 1, end[at], END) if which == 2 else none
+                numbers = [rid[at], pos[at], np.full(len(at), which), k1, k2, nh, none if which else nh]
+                lists = [
+                    _sliced(name, LIST["names"], at, at if which else last[at], 3),
+                    _sliced(sym, LIST["sym"], at, last[at]),
+                    _sliced(size, LIST["len"], at, last[at]),
+                ]
+                columns = [pa.array(c, f.type) for c, f in zip(numbers, ENTRIES, strict=False)] + lists
+                yield pa.RecordBatch.from_arrays(columns, schema=ENTRIES)
 
 
 def _common(sym: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -305,34 +325,39 @@ def _ranked(distinct: DataFrame, keys: list[str], out: str) -> DataFrame:
     return written(placed.withColumn(out, F.monotonically_increasing_id()), "ranks")
 
 
-def _repeating(each: DataFrame, often: DataFrame) -> DataFrame:
-    """Rows of ``each`` whose symbol is in ``often`` (one row per symbol, ``f`` times in ``each``).
+def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys that occur more than once, and how often (``f``)."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("f")).where("f > 1")
+
+
+def _marked(rows: DataFrame, often: DataFrame, keys: list[str], own: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with ``again``: true where the key is in ``often`` (from ``_repeated``, written), else NULL.
 
-    A symbol with more than 1 / HEAVY of these rows is dealt over SALTS tasks. There are
-    fewer than HEAVY of them, so the table that marks them is broadcast.
+    A key with more than 1 / HEAVY of the rows counted there is dealt over SALTS tasks by
+    the columns ``own``. There are fewer than HEAVY such keys, so they are broadcast.
     """
     total = often.agg(F.sum("f")).first()[0] or 0
-    heavy = often.where(F.col("f") * HEAVY > total).select("sym", F.lit(SALTS).alias("salts"))
-    every = F.coalesce("salts", F.lit(1))
-    dealt = each.join(F.broadcast(heavy), "sym", "left").withColumn("salt", F.pmod(F.xxhash64("rid", "t"), every).cast("int"))
-    copies = often.select("sym", F.when(F.col("f") * HEAVY > total, SALTS).otherwise(1).alias("n"))
-    copies = copies.select("sym", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
-    return dealt.drop("salts").join(copies, ["sym", "salt"]).drop("salt")
+    salts = F.when(F.col("f") * HEAVY > total, SALTS).otherwise(1)
+    heavy = often.where(F.col("f") * HEAVY > total).select(*keys, F.lit(SALTS).alias("salts"))
+    dealt = rows.join(F.broadcast(heavy), keys, "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64(*own), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = often.select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("again"))
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
 
 
 def reaches(symbols: DataFrame) -> DataFrame:
     """(rid, pos, reach) of the suffixes at anchors, from ``rid, pos, len, sym`` arrays per text."""
     each = symbols.select("rid", F.posexplode(F.arrays_zip("pos", "len", "sym")).alias("t", "x")).select("rid", "t", "x.*")
-    often = written(each.groupBy("sym").agg(F.count("*").alias("f")).where("f > 1"), "often")
-    live = _repeating(each, often).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("t", "pos", "len", "sym"))).alias("live"))
-    runs = written(live.select("rid", F.inline(F.arrow_udf(_runs, RUNS)("live"))), "runs")
+    often = written(_repeated(each, "sym"), "often")
+    live = _marked(each, often, ["sym"], ["rid", "t"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("t", "pos", "len", "sym"))).alias("live"))
+    runs = written(live.mapInArrow(_runs, RUNS_SQL), "runs")
 
     triple = ["sym", "s1", "s2"]
     sampled = runs.where(F.col("i") % 3 != 0)
     names = _ranked(sampled.select(*triple).distinct(), triple, "name")
     named = sampled.join(names, triple).unionByName(runs.where(F.col("i") % 3 == 0).withColumn("name", F.lit(-1).cast("bigint")))
     by_text = named.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("run", "i", "pos", "len", "sym", "name"))).alias("named"))
-    entries = written(by_text.select("rid", F.inline(F.arrow_udf(_entries, ENTRIES)("named"))), "entries")
+    entries = written(by_text.mapInArrow(_entries, ENTRIES_SQL), "entries")
     chains = entries.where("own <> 0").groupBy("own").agg(F.first("names").alias("names"))
     ranks = _ranked(chains.withColumnRenamed("own", "nh"), ["names", "nh"], "rank")
 
@@ -425,10 +450,6 @@ def _cut(texts: pa.Array, firsts: pa.Array) -> pa.Array:
     return pa.array(rows, kind)
 
 
-def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("f")).where("f > 1").select(*keys)
-
-
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row with ``n_bytes``, ``spans`` (removed runs of bytes) and ``kept`` (binary).
 
@@ -447,21 +468,23 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     reach = reaches(firsts).groupBy("rid").agg(F.collect_list(F.struct("pos", "reach")).alias("r"))
     cells = texts.join(reach, "rid").select("rid", F.explode(F.arrow_udf(_cells, CELLS)("t", "r.pos", "r.reach")).alias("c"))
     cells = written(cells.select("rid", "c.*"), "cells")
-    whole_again = _repeated(cells, "f1", "f2").withColumn("again", F.lit(True))
-    core_again = _repeated(cells, "k1").withColumn("some", F.lit(True))
-    judged = cells.join(core_again, "k1").join(whole_again, ["f1", "f2"], "left")
-    judged = written(judged.withColumn("again", F.coalesce("again", F.lit(False))), "judged")
-    discard(cells)
+    core, both = written(_repeated(cells, "k1"), "cores"), written(_repeated(cells, "f1", "f2"), "wholes")
+    place = ["rid", "first"]
+    some = _marked(cells, core, ["k1"], place).drop("again")
+    judged = _marked(some, both, ["f1", "f2"], place, "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    judged = written(judged, "judged")
+    discard(cells, core, both)
 
     # The strings of an open cell may recur in cells that are repeated as a whole: one of each is a witness.
+    # Equal cells have equal cores, so they are reduced to one before the cores are joined.
     undecided = judged.where("not again")
-    witness = judged.where("again").join(undecided.select("k1").distinct(), "k1", "left_semi")
-    witness = witness.groupBy("f1", "f2").agg(F.min(F.struct("rid", "first", "last")).alias("w")).select("w.*")
+    witness = judged.where("again").groupBy("f1", "f2").agg(F.min(F.struct("rid", "first", "last", "k1")).alias("w")).select("w.*")
+    witness = witness.join(undecided.select("k1").distinct(), "k1", "left_semi").select("rid", "first", "last")
     open_cells = undecided.select("rid", "first", "last").unionByName(witness)
     open_cells = open_cells.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("cells"))
     strings = texts.join(open_cells, "rid").select("rid", F.explode(F.arrow_udf(_strings, STRINGS)("t", "cells")).alias("x"))
     strings = written(strings.select("rid", "x.*"), "strings")
-    single = strings.join(_repeated(strings, "f1", "f2"), ["f1", "f2"]).select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
+    single = strings.join(_repeated(strings, "f1", "f2").drop("f"), ["f1", "f2"]).select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
     found = judged.where("again").select("rid", "first", "last").unionByName(single)
     found = found.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
