@@ -108,16 +108,23 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """``messages`` (role, text, loss) added, taken from ``formatted`` and its mask alone."""
+    """``messages`` (role, text, loss) added, taken from ``formatted`` and its mask alone.
+
+    A text is what stands between ``start`` and ``end`` of its turn. Each is cut from its
+    own turn's stretch, which begins where the turn before ended, so that the time stays
+    linear in long conversations.
+    """
     chunks = F.split("formatted", r"<\|im_end\|>\n", -1)
     own = F.slice(chunks, 1, F.size(chunks) - 1)
 
-    def message(chunk: Column, turn: Column) -> Column:
+    def message(chunk: Column, no: Column) -> Column:
+        turn = F.get("turns", no)
+        begins = F.coalesce(F.get("turns", no - 1)["end"] + len(END) + 1, F.lit(0))
         header = F.regexp_extract(chunk, r"\A<\|im_start\|>([^\n]*)\n", 1)
-        body = F.substr(chunk, F.length(header) + len(START) + 2)
+        body = F.substr(chunk, (turn.start - begins + 1).cast("int"), (turn.end - turn.start).cast("int"))
         return F.struct(_role(header).alias("role"), unescape(body).alias("text"), turn.loss.alias("loss"))
 
-    return rendered.withColumn("messages", F.zip_with(own, "turns", message))
+    return rendered.withColumn("messages", F.transform(own, message))
 
 
 def format_chats(events: DataFrame) -> DataFrame:

@@ -135,6 +135,18 @@ def test_control_strings_survive(spark):
             assert re.sub(r"<\\(\\*)\|", r"<\1|", part) == x[5] and turn["loss"] == (x[4] == "assistant")
 
 
+def test_texts_follow_the_spans(spark):
+    rows = [(1, i, None, "message", r, t) for i, (r, t) in enumerate([("user", "é<|a"), ("assistant", "abc"), ("user", ""), ("assistant", "xyz")])]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, seq long, msg string, kind string, role string, text string"))
+    read = lambda df: [m["text"] for m in chat.read_back(df).collect()[0]["messages"]]
+    assert read(out) == ["é<|a", "abc", "", "xyz"]
+    kind = out.schema["turns"].dataType.simpleString()
+    empty = out.withColumn("turns", F.expr(f"cast(transform(turns, t -> struct(t.start, t.start, t.loss)) as {kind})"))
+    assert read(empty) == [""] * 4
+    short = out.withColumn("turns", F.expr(f"cast(transform(turns, (t, i) -> struct(t.start, t.`end` - int(i = 3), t.loss)) as {kind})"))
+    assert read(short) == ["é<|a", "abc", "", "xy"]
+
+
 # --- shards
 
 
