@@ -15,15 +15,17 @@ KEEP_COMPLETED, KEEP_FAILED = 1000, 5000
 def retain_latest(
     jobs: DataFrame, completed: int = KEEP_COMPLETED, failed: int = KEEP_FAILED
 ) -> DataFrame:
-    """Unfinished jobs, and the newest finished ones per queue and state."""
-    limits = F.when(F.col("state") == "completed", completed).when(
-        F.col("state") == "failed", failed
-    )
-    finished = F.col("state").isin("completed", "failed")
-    kept = top_per_key(
-        jobs.where(finished), ["queue", "state"], [F.desc("ts"), F.desc("job_id")], limits, "job_id"
-    )
-    return kept.unionByName(jobs.where(~F.coalesce(finished, F.lit(False))))
+    """Unfinished jobs, and the newest finished ones per queue and state.
+
+    Each state is a branch with its own literal limit, which the planner can apply before
+    the shuffle (up to ``spark.sql.optimizer.windowGroupLimitThreshold``).
+    """
+    order = [F.desc("ts"), F.desc("job_id")]
+    kept = jobs.where(~F.coalesce(F.col("state").isin("completed", "failed"), F.lit(False)))
+    for state, limit in (("completed", completed), ("failed", failed)):
+        finished = jobs.where(F.col("state") == state)
+        kept = kept.unionByName(top_per_key(finished, ["queue", "state"], order, limit, "job_id"))
+    return kept
 
 
 def attempt_number(

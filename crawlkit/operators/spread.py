@@ -86,7 +86,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def top_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: Column, salt: str, salts: int = 64
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: Column | int, salt: str, salts: int = 64
 ) -> DataFrame:
     """First ``n`` rows per key, in two rounds: per (key, salt), then per key.
 
