@@ -51,5 +51,5 @@ def parse_crawl_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    """Append ``(ts, metric, labels, value)`` rows, one folder per metric."""
-    df.repartition("metric").write.mode("append").partitionBy("metric").parquet(path)
+    """Append ``(ts, metric, labels, value)`` rows, one folder per metric; a long series is many files by time."""
+    df.repartitionByRange("metric", "ts").write.mode("append").partitionBy("metric").parquet(path)

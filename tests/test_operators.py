@@ -324,3 +324,11 @@ def test_daily_sketches_answer_for_months(spark):
     top = sketches.heavy_hitters(sketches.heavy_sketches(skewed, "k"), 3, 1024).collect()
     assert {r.item for r in top} == {0, 1, 2}
     assert all(4000 <= r.n <= 4002 + 24000 / (0.375 * 1024) for r in top)
+
+
+def test_retention_limits_completed_jobs_before_the_shuffle(spark):
+    rows = [("q", state, i, i) for state in ("completed", "failed", "active", None) for i in range(7)]
+    kept = jobs.retain_latest(spark.createDataFrame(rows, "queue string, state string, ts long, job_id long"), 2, 3)
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["state"] or "", r["job_id"]) for r in kept.collect())
+    assert got == sorted([("completed", i) for i in (5, 6)] + [("failed", i) for i in (4, 5, 6)] + [(s, i) for s in ("active", "") for i in range(7)])
