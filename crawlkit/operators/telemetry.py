@@ -110,6 +110,19 @@ def log_level_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("level").agg(F.count("*").alias("n"))
 
 
+def log_fields(records: DataFrame, *keep: str) -> DataFrame:
+    """One row per line and top-level field of its ``rest``: ``field, kind, value`` as JSON text."""
+    fields = records.sparkSession.tvf.variant_explode(F.col("rest").outer())
+    return records.lateralJoin(fields).where("key is not null").select(
+        *keep, F.col("key").alias("field"), F.schema_of_variant("value").alias("kind"), F.to_json("value").alias("value")
+    )
+
+
+def log_field_kinds(records: DataFrame) -> DataFrame:
+    """Fields beyond the schema with their types and the lines that have them."""
+    return log_fields(records).groupBy("field", "kind").agg(F.count("*").alias("n"))
+
+
 def seen_cardinality(urls: DataFrame) -> DataFrame:
     """Exact number of distinct URLs, and an estimate from a mergeable sketch."""
     return urls.agg(

@@ -279,6 +279,36 @@ def log_level_counts(v):
     return telemetry.log_level_counts(records)
 
 
+def log_fields(v):
+    """Log files with fields beyond the schema, unfit values and lines cut off, read back."""
+    home = scratch(v.spark, "log-fields")
+    whole = F.to_json(
+        F.struct(
+            F.col("ts").cast("string").alias("ts"),
+            F.lit("info").alias("level"),
+            F.col("event_type").alias("msg"),
+            F.when(F.col("event_id") % 30 == 1, "soon").otherwise(F.col("user_id").cast("string")).alias("msBeforeNext"),
+            "event_id",
+            F.parse_json("props").alias("props"),
+        )
+    )
+    cut = F.concat(F.lit('{"level":"info","event_id":'), F.col("event_id").cast("string"))
+    v.table("events").select(F.when(F.col("event_id") % 40 == 0, cut).otherwise(whole)).write.text(f"{home}/lines")
+    records = io.read_crawl_log(v.spark, f"{home}/lines")
+    number = F.try_variant_get("rest", "$.event_id", "bigint").alias("event_id")
+    known = records.select(number, "ts", "level", "msg", "msBeforeNext", "_corrupt_record", "rest")
+    broken = known.where("rest is null").drop("rest")
+    broken = broken.withColumns({c: F.lit(None).cast("string") for c in ("field", "kind", "value")})
+    found = telemetry.log_fields(known.where("rest is not null"), *[c for c in known.columns if c != "rest"])
+    return found.unionByName(broken).withColumnsRenamed({"msBeforeNext": "ms_before_next", "_corrupt_record": "broken"})
+
+
+def log_field_kinds(v):
+    """Fields of the event payloads, none of which the schema knows."""
+    lines = v.table("events").select(F.col("props").alias("value"))
+    return telemetry.log_field_kinds(io.parse_crawl_log(lines))
+
+
 def metrics_export(v):
     asked = v.accepted().withColumn("answered", F.col("value") <= 200)
     routed = frontier.route_seen(frontier.seen_result(asked, v.seen(), "answered"))
@@ -487,6 +517,12 @@ def metrics_stream(v):
     return drain(metrics.metrics_stream(live.fetch_log(), "1 hour"), "metrics")
 
 
+def sliding_metrics_stream(v):
+    """Counts of the last day at every hour, from hourly panes."""
+    live = v.streaming("events")
+    return drain(metrics.sliding_metrics_stream(live.fetch_log(), "24 hours", "1 hour"), "sliding-metrics")
+
+
 def rate_limit_stream(v):
     stateful.use_rocksdb(v.spark)
     live = v.streaming("events").requests()
@@ -560,14 +596,14 @@ QUERIES: dict[str, Query] = {
         rolling_success_rate, sliding_success_rate, throttle_increase_1h,
         top_throttled_domains, latency_summary, failure_windows, alert_openings,
         active_workers, queue_status, latest_job_states, queue_gauges, reconcile_loss,
-        log_level_counts, metrics_export,
+        log_level_counts, log_fields, log_field_kinds, metrics_export,
         retention, attempts, dead_letters, retry_schedule, fetch_backoff, error_classes,
         url_host, host_forms, url_hash, shard_path, canonical_urls, rate_keys, request_bodies,
         html_store_layout, page_titles, extract_links, resolve_links, scheme_filter,
         link_edges, link_stats, link_in_degree, top_hubs, crawl_depth, crawl_growth,
         frontier_fetch, new_links_by_host,
-        ingest_stream_urls, ingest_stream_exact, crawl_stream, crawl_loop, metrics_stream, rate_limit_stream,
-        rate_limit_delay_stream, retry_stream, retry_stream_fetch,
+        ingest_stream_urls, ingest_stream_exact, crawl_stream, crawl_loop, metrics_stream, sliding_metrics_stream,
+        rate_limit_stream, rate_limit_delay_stream, retry_stream, retry_stream_fetch,
     ]
 }
 

@@ -319,6 +319,11 @@ ORACLES: dict[str, str] = {
     + """SELECT date_trunc('hour', ts) AS window_start, domain, status, count(*) AS n FROM log
       WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 MINUTE
       GROUP BY ALL""",
+    "sliding_metrics_stream": _with(LOG)
+    + """SELECT date_trunc('hour', ts) - to_hours(h) AS window_start, domain, status, count(*) AS n
+      FROM log, range(24) AS hours(h)
+      WHERE date_trunc('hour', ts) - to_hours(h) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 MINUTE
+      GROUP BY ALL""",
     "rate_limit_aligned": """SELECT id, client, w * 86400000 AS window_start_ms, hit <= 5 AS allowed,
       CASE WHEN hit > 5 THEN (w + 1) * 86400000 - ms END AS ms_before_next FROM (
         SELECT *, row_number() OVER (PARTITION BY client, w ORDER BY ts, id) AS hit FROM (
@@ -403,6 +408,17 @@ ORACLES: dict[str, str] = {
     "log_level_counts": _with(LOG)
     + """SELECT CASE status WHEN 'success' THEN 'info' WHEN 'failed' THEN 'error' ELSE 'warn' END AS level,
       count(*) AS n FROM log GROUP BY 1""",
+    "log_fields": """WITH lines AS (
+        SELECT event_id, ts, event_type, user_id, props, event_id % 30 = 1 AS unfit FROM events WHERE event_id % 40 <> 0),
+      known AS (
+        SELECT event_id, ts, 'info' AS level, event_type AS msg, CASE WHEN NOT unfit THEN user_id END AS ms_before_next,
+          CAST(NULL AS VARCHAR) AS broken, props FROM lines)
+      SELECT * EXCLUDE props, 'event_id' AS field, 'BIGINT' AS kind, CAST(event_id AS VARCHAR) AS value FROM known
+      UNION ALL SELECT * EXCLUDE props, 'props', 'OBJECT<k: BIGINT>', '{"k":' || json_extract_string(props, '$.k') || '}' FROM known
+      UNION ALL SELECT * EXCLUDE props, 'msBeforeNext', 'STRING', '"soon"' FROM known WHERE ms_before_next IS NULL
+      UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, '{"level":"info","event_id":' || CAST(event_id AS VARCHAR), NULL, NULL, NULL
+        FROM events WHERE event_id % 40 = 0""",
+    "log_field_kinds": "SELECT 'k' AS field, 'BIGINT' AS kind, count(json_extract(props, '$.k')) AS n FROM events",
     "metrics_export": _with(REQUESTS, ROUTED, LOG, GAUGES, _workers(3_600_000_000))
     + f"""SELECT max(ts) AS ts, 'urls_ingested_total' AS metric, '{{}}' AS labels,
         CAST(count(*) FILTER (route = 'fetch') AS DOUBLE) AS value FROM routes

@@ -39,15 +39,35 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGE).parquet(path)
 
 
-def read_crawl_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON log lines; a broken line is kept whole in ``_corrupt_record``."""
-    return spark.read.schema(schemas.LOG).json(path)
+def read_crawl_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """JSON log lines as a table, or as a stream of new files; see ``parse_crawl_log``."""
+    reader = spark.readStream if stream else spark.read
+    return parse_crawl_log(reader.text(path).where(F.trim("value") != ""))
 
 
 def parse_crawl_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The same for log lines that are already rows."""
-    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    return lines.select(F.from_json(column, schemas.LOG, options).alias("r")).select("r.*")
+    """The known fields of JSON log lines, and all others in ``rest VARIANT``.
+
+    A known field whose value does not fit its type is NULL and stays in ``rest`` as written.
+    ``rest`` is an empty object if nothing is left over. A line that is no JSON object, or
+    names a field twice, is kept whole in ``_corrupt_record``; its other columns are NULL.
+    """
+    *known, (corrupt, _) = [field.split() for field in schemas.LOG.split(",")]
+    parsed = lines.select(F.col(column).alias("line"), F.try_parse_json(column).alias("v"))
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+
+    def left_over(name, value):
+        unfit = F.lit(False)
+        for kind in sorted({kind for _, kind in known}):
+            named = name.isin(*[n for n, k in known if k == kind])
+            unfit = unfit | (named & F.try_variant_get(value, "$", kind).isNull())
+        return ~name.isin(*[n for n, _ in known]) | (unfit & ~F.is_variant_null(value))
+
+    return parsed.select(
+        *[F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in known],
+        F.when(fields.isNull(), F.col("line")).alias(corrupt),
+        F.to_variant_object(F.map_filter(fields, left_over)).alias("rest"),
+    )
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

@@ -217,6 +217,37 @@ def test_requests_bodies_seeds_and_logs(spark, tmp_path):
     } == {"info": 1, "warn": 1, None: 1}
 
 
+def test_log_lines_keep_what_the_schema_does_not_know(spark, tmp_path):
+    lines = [
+        '{"ts":"2024-01-01T00:00:00.5Z","level":"info","msBeforeNext":"7","shard":{"a":[1,2]},"rate":0.5}',
+        '{"level":5,"msBeforeNext":"soon","count":null,"ts":1700000000,"none":null}',
+        '{"msg":"plain"}',
+        "{broken",
+        '{"a":1,"a":2}',
+        "[1]",
+        "null",
+        "  ",
+    ]
+    (tmp_path / "log.json").write_text("\n".join(lines))
+    log = io.read_crawl_log(spark, str(tmp_path / "log.json")).withColumn("rest", F.to_json("rest"))
+    rows = {r._corrupt_record or r.level or r.msg: r for r in log.collect()}
+    assert set(rows) == {"info", "5", "plain", "{broken", '{"a":1,"a":2}', "[1]", "null"}
+    assert rows["info"].ts == T0.replace(2024, 1, 1, 0, 0, 0, 500_000)
+    assert rows["info"].msBeforeNext == 7
+    assert rows["info"].rest == '{"rate":0.5,"shard":{"a":[1,2]}}'
+    assert (rows["5"].msBeforeNext, rows["5"].ts) == (None, None)
+    assert rows["5"].rest == '{"msBeforeNext":"soon","none":null,"ts":1700000000}'
+    assert rows["plain"].rest == "{}"
+    assert rows["{broken"].rest is None and rows["{broken"].level is None
+    kinds = telemetry.log_field_kinds(io.read_crawl_log(spark, str(tmp_path / "log.json")))
+    assert {(r.field, r.kind, r.n) for r in kinds.collect()} == {
+        ("rate", "DECIMAL(1,1)", 1), ("shard", "OBJECT<a: ARRAY<BIGINT>>", 1),
+        ("msBeforeNext", "STRING", 1), ("none", "VOID", 1), ("ts", "BIGINT", 1),
+    }
+    nothing = io.parse_crawl_log(spark.createDataFrame([(None,)], "value STRING"))
+    assert nothing.first()._corrupt_record is None and telemetry.log_field_kinds(nothing).isEmpty()
+
+
 def test_metrics_are_appended_by_name(spark, tmp_path):
     schema = "ts TIMESTAMP_NTZ, metric STRING, labels MAP<STRING,STRING>, value DOUBLE"
     rows = spark.createDataFrame([(T0, "m1", {"domain": "d"}, 1.0), (T0, "m2", {}, 2.0)], schema)

@@ -45,6 +45,7 @@ def drain(stream, path, checkpoint):
     )
     query.awaitTermination(300)
     assert query.exception() is None
+    return query
 
 
 def tuples(df):
@@ -138,6 +139,42 @@ def test_metrics_stream_equals_batch(spark, tmp_path):
     assert tuples(spark.read.parquet(f"{tmp_path}/out")) == tuples(expected)
 
 
+def test_sliding_windows_are_made_of_panes(spark, tmp_path):
+    rows = [(T0 + dt.timedelta(seconds=7 * i), f"d{i % 3}", "failed" if i % 5 == 0 else "success") for i in range(40)]
+    last = [(T0 + dt.timedelta(hours=1), "d0", "success")]
+    late = [(T0, "d0", "success"), (T0, "d0", "success"), (T0, "d1", "failed"), (None, "d1", "failed")]
+    schema = "ts TIMESTAMP_NTZ, domain STRING, status STRING"
+    write_batches(spark, tmp_path / "in", rows, schema, 4)
+    write_batches(spark, tmp_path / "in", last, schema, 1)
+    out = metrics.sliding_metrics_stream(stream_of(spark, tmp_path / "in", schema), "30 seconds", "10 seconds")
+    query = drain(out, tmp_path / "out", tmp_path / "cp")
+    assert metrics.late_groups(query) == 0
+
+    expected = {}
+    for ts, domain, status in rows:
+        first = ts - dt.timedelta(seconds=ts.second % 10)
+        for back in range(3):
+            key = (first - dt.timedelta(seconds=10 * back), domain, status)
+            expected[key] = expected.get(key, 0) + 1
+    counted = {tuple(r)[:3]: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert counted == expected
+    batch = metrics.sliding_metrics_stream(spark.createDataFrame(rows, schema), "30 seconds", "10 seconds")
+    assert {tuple(r)[:3]: r.n for r in batch.collect()} == expected
+
+    write_batches(spark, tmp_path / "in", late, schema, 1)
+    query = drain(out, tmp_path / "out", tmp_path / "cp")
+    assert metrics.late_groups(query) == 2
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(expected)
+
+
+def test_a_fetch_is_one_row_of_one_pane(spark):
+    schema = "ts TIMESTAMP_NTZ, domain STRING, status STRING"
+    plan = metrics.sliding_metrics_stream(spark.createDataFrame([(T0, "d", "success")], schema))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.rindex("Aggregate") :]
+    assert "Aggregate" in text[: text.rindex("Aggregate")] and "Expand" not in below and "Generate" not in below
+
+
 HITS = [(3, 1), (5, 2), (9, 3), (12, 4), (13, 5), (14, 6), (22, 7), (23, 8)]
 
 
