@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from crawlkit.functions.bind import let
 from crawlkit.functions.html import extract_hrefs
 from crawlkit.functions.urls import base_parts, http_only, resolve
-from crawlkit.session import scratch
+from crawlkit.session import forget, materialize, scratch
+from crawlkit.sources import keyed
+from crawlkit.sources.files import size
+
+#: Parts over which the edges of one hash prefix are dealt.
+SPREAD = 16
+#: Bytes of edges and visited URLs up to which a round reads them whole: asking what to leave out costs more.
+WHOLE = 64 << 20
 
 
 def page_links(
@@ -52,33 +59,45 @@ def build_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 def crawl_closure(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(url, depth)`` for every URL reachable from the seeds; depth of first discovery.
 
-    Each round is one job: frontier joined to the edges, distinct, minus everything
-    visited. Edges and rounds are tables in the shared scratch folder, so the plan does
-    not grow, pages are parsed once, and a lost executor costs one stage.
+    The edges are written once as a key table by the hash of ``src``, a hub's edges over
+    several files; the visited URLs are another one, a span per round. A round reads the
+    hash prefixes of its own frontier from both, so late, narrow rounds touch little of
+    them. Both lie in the shared scratch folder: the plan does not grow, pages are parsed
+    once, and a lost executor costs one stage.
     """
     spark = seeds.sparkSession
     home = scratch(spark, "closure")
-    edges.select("src", "dst").where("src <> dst").distinct().write.parquet(f"{home}/edges")
-    links = spark.read.parquet(f"{home}/edges")
-    seeds.select("url").where("url is not null").distinct().withColumn(
-        "depth", F.lit(0)
-    ).write.parquet(f"{home}/rounds/round=0")
+    links = keyed.keyed(edges.where("src <> dst"), F.col("src")).select("h", "dst").distinct()
+    keyed.load(links, f"{home}/edges", "all", spread=[F.pmod(F.xxhash64("dst"), F.lit(SPREAD))])
+
+    visited, values = f"{home}/visited", "url STRING, depth INT"
+    found = keyed.keyed(seeds.select("url").where("url is not null").distinct(), F.col("url"))
     depth = 0
-    while max_depth is None or depth < max_depth:
-        frontier = spark.read.parquet(f"{home}/rounds/round={depth}")
-        visited = spark.read.parquet(*[f"{home}/rounds/round={d}" for d in range(depth + 1)])
-        depth += 1
-        (
-            frontier.join(links, frontier.url == links.src)
-            .select(F.col("dst").alias("url"))
-            .distinct()
-            .join(visited, "url", "left_anti")
-            .withColumn("depth", F.lit(depth))
-            .write.parquet(f"{home}/rounds/round={depth}")
+    while True:
+        found = found.select("h", "url", F.lit(depth).alias("depth"))
+        # Seeds may be many; what later rounds find is bounded by the edges.
+        whole = depth > 0 and size(spark, home) <= WHOLE
+        if whole:
+            keyed.write(found.join(keyed.read(spark, visited, ""), "h", "left_anti"), visited, "all", depth)
+        else:
+            found = materialize(found, "found")
+            fresh = found.join(keyed.candidates(found, visited), "h", "left_anti")
+            bytes_found = size(spark, found.inputFiles()[0].rsplit("/", 1)[0])
+            keyed.write(fresh, visited, "all", depth, total=bytes_found)
+            forget(found)
+        frontier = keyed.read_batch(spark, visited, values, "all", depth)
+        if frontier is None or depth == max_depth:
+            return keyed.read(spark, visited, values).select("url", "depth")
+        near = (
+            keyed.read(spark, f"{home}/edges", "dst STRING")
+            if whole
+            else keyed.candidates(frontier, f"{home}/edges", "dst STRING")
         )
-        if spark.read.parquet(f"{home}/rounds/round={depth}").isEmpty():
-            break
-    return spark.read.parquet(*[f"{home}/rounds/round={d}" for d in range(depth + 1)])
+        targets = near.join(frontier.select("h"), "h", "left_semi").select(F.col("dst").alias("url")).distinct()
+        found = keyed.keyed(targets, F.col("url"))
+        depth += 1
+        # Merges the rounds before the frontier's.
+        keyed.compact(spark, visited, values, "all", depth - 1)
 
 
 def closure_growth(depths: DataFrame) -> DataFrame:

@@ -10,9 +10,12 @@ from crawlkit.functions.urls import form_url, request_url, url_hash
 
 
 def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """JSON-lines requests as a table, or as a stream of new files."""
+    """JSON-lines requests as a table, or as a stream of new files.
+
+    ``id``, which the operators go by, is the ``request_id`` as written.
+    """
     reader = spark.readStream if stream else spark.read
-    return reader.schema(schemas.REQUEST).json(path)
+    return reader.schema(schemas.REQUEST).json(path).withColumn("id", F.col("request_id"))
 
 
 def parse_bodies(df: DataFrame, body: str = "body", form: bool = False) -> DataFrame:

@@ -79,10 +79,12 @@ def _digits(total: int) -> int:
     return digits
 
 
-def _write(rows: DataFrame, path: str, run: str, lo: int, hi: int, digits: int) -> None:
+def _write(
+    rows: DataFrame, path: str, run: str, lo: int, hi: int, digits: int, spread: Sequence[Column] = ()
+) -> None:
     (
         rows.withColumn("prefix", _prefix(digits))
-        .repartition("prefix")
+        .repartition("prefix", *spread)
         .sortWithinPartitions("prefix", "h")
         .write.mode("overwrite")
         .partitionBy("prefix")
@@ -90,17 +92,36 @@ def _write(rows: DataFrame, path: str, run: str, lo: int, hi: int, digits: int)
     )
 
 
-def write(rows: DataFrame, path: str, run: str, batch: int) -> None:
-    """Write a batch's rows (``h`` and values) as a span; a replay replaces it."""
-    _write(rows, path, run, batch, batch, 1)
+def write(rows: DataFrame, path: str, run: str, batch: int, total: int = 0) -> None:
+    """Write a batch's rows (``h`` and values) as a span; a replay replaces it.
+
+    ``total``, the bytes of a batch that may be large, sets how long its prefixes are.
+    """
+    _write(rows, path, run, batch, batch, _digits(total))
+
+
+def read_batch(spark: SparkSession, path: str, values: str, run: str, batch: int) -> DataFrame | None:
+    """What a batch wrote, until it is merged; None if that was no row."""
+    spans = [s for s in live(spark, path) if s.run == run and s.lo == s.hi == batch]
+    if not any(glob(spark, f"{path}/{s.folder}/prefix=*") for s in spans):
+        return None
+    return _open(spark, path, values, spans).drop("run", "span", "prefix")
 
 
-def load(rows: DataFrame, path: str, run: str) -> None:
-    """Write a table of any size as the only span of ``run``; nothing if it is there."""
+def read(spark: SparkSession, path: str, values: str) -> DataFrame:
+    """The whole table."""
+    return _open(spark, path, values, live(spark, path)).drop("run", "span", "prefix")
+
+
+def load(rows: DataFrame, path: str, run: str, spread: Sequence[Column] = ()) -> None:
+    """Write a table of any size as the only span of ``run``; nothing if it is there.
+
+    Where a key has many rows, ``spread`` deals the rows of a prefix over several tasks and files.
+    """
     if not has_run(rows.sparkSession, path, run):
         whole = materialize(rows, "load")
         folder = whole.inputFiles()[0].rsplit("/", 1)[0]
-        _write(whole, path, run, 0, 0, _digits(size(rows.sparkSession, folder)))
+        _write(whole, path, run, 0, 0, _digits(size(rows.sparkSession, folder)), spread)
         forget(whole)
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from crawlkit import schemas
 from crawlkit.operators import bloom, frontier, graph, jobs, limits, spread, telemetry
 from crawlkit.sources import io, store
 
@@ -195,10 +196,56 @@ def test_store_rewrites_and_reads_by_url(spark, tmp_path):
     assert store.read_html_store(spark, str(tmp_path / "compact")).count() == 2
 
 
+def test_store_breaks_ties_and_thins_out_old_versions(spark, tmp_path):
+    rows = [("http://h/hot", f"old {i}", i % 50) for i in range(500)]
+    rows += [("http://h/hot", "new a", 99), ("http://h/hot", "new b", 99), ("http://h/hot", "new b", 99)]
+    rows += [(f"http://h/{i}", f"page {i}", None if i == 7 else 1) for i in range(60)] + [("http://h/empty", None, 1)]
+    pages = spark.createDataFrame(rows, "url STRING, html STRING, version INT").repartition(5)
+    for digits in (None, 1, 2, 3):
+        path = f"{tmp_path}/store{digits}"
+        store.write_html_store(pages, path, batch=0, digits=digits)
+        files = spark.read.schema(schemas.STORED_PAGE).parquet(path)
+        assert files.count() == 62 == files.select("url").distinct().count()
+        hot = files.where("url = 'http://h/hot'").first()
+        assert (hot.version, hot.html in ("new a", "new b")) == (99, True)
+        assert store.read_html_store(spark, path).where("url <> 'http://h/7'").count() == 61
+    store.write_html_store(pages.limit(0), f"{tmp_path}/none", batch=0)
+    assert [store._digits(n << 30) for n in (0, 1, 4, 5, 64, 65, 1 << 17)] == [1, 1, 1, 2, 2, 3, 4]
+
+
+def test_store_shuffles_bodies_once(spark, tmp_path):
+    spark.range(1000).selectExpr("'http://h/' || id AS url", "repeat('x', 99) AS html", "id AS version").write.parquet(f"{tmp_path}/p")
+    laid_out = store.store_layout(spark.read.parquet(f"{tmp_path}/p")).withColumn("mark", F.xxhash64("html"))
+    best = F.max(F.struct("version", "mark")).alias("best")
+    laid_out.groupBy("url_hash").agg(best, F.count("*").alias("n")).where("n > 1").write.parquet(f"{tmp_path}/w")
+    dealt = store._dealt(laid_out, spark.read.parquet(f"{tmp_path}/w"), 2)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 1
+    assert plan.count("Sort [") == 1, plan
+
+
+@pytest.mark.parametrize("whole", [0, 64 << 20])
+def test_closure_by_key_tables(spark, monkeypatch, whole):
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    hub = [("hub", f"u{i}") for i in range(300)]
+    chain = [(f"u{i}", f"u{i + 1}") for i in range(300, 306)] + [("u299", "u300"), ("u306", "hub"), ("u1", "u1"), (None, "x")]
+    edges = spark.createDataFrame(hub + chain + chain, "src STRING, dst STRING")
+    seeds = spark.createDataFrame([("hub",), ("hub",), (None,)], "url STRING")
+    depths = {r.url: r.depth for r in graph.crawl_closure(seeds, edges).collect()}
+    assert depths == {"hub": 0} | {f"u{i}": 1 for i in range(300)} | {f"u{i}": i - 298 for i in range(300, 307)}
+    long = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(19)] + [("n9", "n2")], "src STRING, dst STRING")
+    start = spark.createDataFrame([("n0",)], "url STRING")
+    assert {r.url: r.depth for r in graph.crawl_closure(start, long).collect()} == {f"n{i}": i for i in range(20)}
+    assert graph.crawl_closure(start, long, max_depth=0).count() == 1
+    assert graph.crawl_closure(seeds, edges.limit(0)).collect()[0].asDict() == {"url": "hub", "depth": 0}
+    assert graph.crawl_closure(seeds.limit(0), edges).isEmpty()
+
+
 def test_requests_bodies_seeds_and_logs(spark, tmp_path):
     lines = ['{"request_id":1,"ts":"2024-01-01T00:00:00","url":"http://h/"}', '{"request_id":2}']
     (tmp_path / "requests.json").write_text("\n".join(lines))
     requests = io.read_requests(spark, str(tmp_path / "requests.json"))
+    assert [r.id for r in frontier.new_urls(requests.where("url is not null"), requests.select("url").limit(0)).collect()] == [1]
     admitted = {r.request_id: r.status for r in frontier.admit(requests).collect()}
     assert admitted == {1: 202, 2: 400}
     blank = spark.createDataFrame([(1, " "), (2, ""), (3, None)], "id INT, url STRING")
