@@ -12,6 +12,7 @@ from crawlkit.functions.times import micros
 from crawlkit.functions.urls import url_host
 from crawlkit.operators import frontier, graph
 from crawlkit.session import prepare
+from crawlkit.sources.files import is_folder
 
 # Request template and id range of the load test, queue names.
 RESOURCE = "https://docs.developer.com/api/v1/resource/"
@@ -29,8 +30,11 @@ class Views:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
-        """The same table as a stream of files."""
+        """The same table, one file or a folder of files, as a stream of files."""
+        path = f"{self.dir}/{name}.parquet"
         source = self.spark.readStream.schema(self.table(name).schema)
+        if is_folder(self.spark, path):
+            return source.parquet(path)
         return source.option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)
 
     def streaming(self, *names: str) -> Views:

@@ -21,6 +21,11 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(status.getPath().toString() for status in system.globStatus(target) or [])
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, target = _at(spark, path)
+    return system.exists(target) and system.getFileStatus(target).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     system, target = _at(spark, path)
     system.delete(target, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlkit import schemas
 from crawlkit.operators import frontier, limits
+from crawlkit.plans import catalogue
 from crawlkit.sources import keyed
 from crawlkit.sources.store import read_html_store
 from crawlkit.streaming import crawl, ingest, metrics, retry, stateful
@@ -359,3 +360,12 @@ def test_exact_ingest_keeps_its_table_under_a_new_checkpoint(spark, tmp_path):
     urls = sorted(r.url for r in ingest.read_routed(spark, f"{tmp_path}/out", "accepted").collect())
     assert urls == ["http://h/1", "http://h/2", "http://h/3"]
     assert ingest.read_routed(spark, f"{tmp_path}/out", "rejected").count() == 5
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    rows = [(i, f"http://h{i}.org/", f'<title>t</title><a href="/x{i % 3}">') for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    out = catalogue.run("crawl_stream", spark, str(tmp_path)).collect()
+    assert {r.url for r in out if r.html_md5} == {url for _, url, _ in rows}
+    assert {r.url for r in out if not r.html_md5} == {f"http://h{i}.org/x{i % 3}" for i in range(9)}
