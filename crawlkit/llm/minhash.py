@@ -20,6 +20,9 @@ link of similarity 0.75 is missed with a chance of about 1e-7).
 
 Agreements of a candidate pair are counted over both whole signatures, and links are
 confirmed on the full sets (64-bit shingle hashes) before they contract anything.
+
+Whole texts go through no shuffle but those of documents in groups, once: rows are picked where
+they lie by bitmaps of their numbers, a bit per row.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlkit.llm.common import packed, unpacked, written
+from crawlkit.llm.common import SMALL, discard, packed, unpacked, written
 from crawlkit.llm.components import components
 from crawlkit.llm.words import LOWER, hashed, mixed, windows, words
 
@@ -102,6 +105,22 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([shingles, pa.array(classes, pa.list_(pa.int32()))], ["shingles", "classes"])
 
 
+def _parted(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``rid`` is in ``ids`` (written, no repeats), and the others; none is shuffled.
+
+    A bitmap of 4 KiB marks up to 32768 rows of a part, and they are broadcast. Of more than
+    SMALL bitmaps none is made use of: then the rows are joined by ``rid``.
+    """
+    chunked = ids.select("rid", F.shiftright("rid", 15).alias("chunk")).repartition("chunk")
+    marks = written(chunked.groupBy("chunk").agg(F.bitmap_construct_agg(F.col("rid").bitwiseAND(32767)).alias("bits")), "marks")
+    if marks.count() > SMALL:
+        return rows.join(ids, "rid", "left_semi"), rows.join(ids, "rid", "left_anti")
+    byte = "conv(hex(substring(bits, cast(shiftright(rid & 32767, 3) as int) + 1, 1)), 16, 10)"
+    inside = F.expr(f"coalesce(shiftright(cast({byte} as int), cast(rid & 7 as int)) & 1, 0) = 1")
+    marked = rows.withColumn("chunk", F.shiftright("rid", 15)).join(F.broadcast(marks), "chunk", "left").withColumn("inside", inside)
+    return marked.where("inside").select(*rows.columns), marked.where("not inside").select(*rows.columns)
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that agree often enough and whose full sets are similar enough."""
     side = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
@@ -116,9 +135,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame
     return written(common.where(100 * F.col("c") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b"), "links")
 
 
-def _shared(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _shared(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per node (n, shared, common): its shingles, those of two candidates or more, and those of
-    three or more by class; and per pair (a, b, both) the shingles that only these two have."""
+    three or more by class; and per pair (a, b, both) the shingles that only these two have; and the table both are read from."""
     each = sets.select("node", F.explode("shingles").alias("shingle"))
     lists = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("node").alias("a"), F.max("node").alias("b"))
     kind = F.pmod("shingle", F.lit(CLASSES)).cast("int").alias("class")
@@ -132,7 +151,7 @@ def _shared(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = sets.select("node", "classes", F.size("shingles").cast("bigint").alias("n"))
     sizes = sizes.join(own, "node", "left").join(rare, "node", "left")
     common = F.transform("classes", lambda c, i: c - F.coalesce(F.try_element_at("rare", i), F.lit(0)))
-    return sizes.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), common.alias("common")), pairs
+    return sizes.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"), common.alias("common")), pairs, few
 
 
 def _overlap(a: str, b: str) -> Column:
@@ -207,7 +226,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
     nodes = written(
         rows.where("n > 0").groupBy("hi", "lo").agg(
-            F.min("rid").alias("node"), F.min(place).alias("place"), F.min_by("sig", "rid").alias("sig"), F.min("n").alias("n")
+            F.min("rid").alias("node"), F.min(place).alias("place"), F.min_by("sig", "rid").alias("sig"), F.min("n").alias("n"),
+            F.count("*").alias("copies"),
         ),
         "nodes",
     )
@@ -219,13 +239,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     free = F.size("e") - (MATCHES - 1)
     posts = written(ordered.where(free > 0).select("node", F.explode(F.slice("e", F.lit(1), free)).alias("e")).select("node", "e.v"), "posts")
 
-    wanted = posts.select("node").distinct()
-    texts = rows.select(F.col("rid").alias("node"), "t").join(wanted, "node")
-    sets = written(texts.select("node", F.arrow_udf(_sets, SETS)("t").alias("s")).select("node", "s.*"), "sets")
-    sizes, pairs = _shared(sets)
+    wanted = written(posts.select(F.col("node").alias("rid")).distinct(), "wanted")
+    texts, _ = _parted(rows.select("rid", "t"), wanted)
+    sets = written(texts.select(F.col("rid").alias("node"), F.arrow_udf(_sets, SETS)("t").alias("s")).select("node", "s.*"), "sets")
+    sizes, pairs, few = _shared(sets)
     sizes = written(sizes, "sizes")
     by_two = written(_by_two(pairs, sizes), "by-two")
-    posts = written(posts.join(sizes.where(100 * F.col("shared") >= PERCENT * F.col("n")), "node"), "posts")
+    prefixes = posts
+    posts = written(prefixes.join(sizes.where(100 * F.col("shared") >= PERCENT * F.col("n")), "node"), "posts")
+    discard(wanted, few, prefixes)
 
     links, comps = None, None
     for round_ in range(STAR_ROUNDS + 1):
@@ -238,16 +260,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             apart = by_two.join(end, "a", "left").join(other, "b", "left").where("x is null or y is null or x <> y")
             pairs = _across(lists).unionByName(apart.select("a", "b")).distinct()
         found = _confirmed(pairs, nodes, sets)
+        discard(lists)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
 
-    labelled = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.groupBy("comp").agg(F.min("place").alias("best"))
-    homes = labelled.join(least, "comp").select("hi", "lo", "best")
-    placed = rows.withColumn("words", F.col("n") > 0).join(
-        homes.withColumn("words", F.lit(True)), ["hi", "lo", "words"], "left"
-    )
-    component = F.when(F.col("words"), F.col("best.id")).otherwise(F.col("id"))
+    # A text without copies or links is its own group.
+    grouped = nodes.join(comps, "node", "left").where("comp is not null or copies > 1").withColumn("comp", F.coalesce("comp", "node"))
+    least = grouped.groupBy("comp").agg(F.min("place").alias("best"))
+    homes = grouped.join(least, "comp").select("hi", "lo", "best")
+    members = written(rows.where("n > 0").select("rid", "hi", "lo").join(homes, ["hi", "lo"]).select("rid", "best"), "members")
+    discard(nodes, sets, sizes, by_two, posts)
+    inside, outside = _parted(rows.select("rid", "row", "n", "id"), members.select("rid"))
+    alone = outside.withColumn("best", F.lit(None).cast(members.schema["best"].dataType))
+    placed = inside.join(members, "rid").unionByName(alone)
+    component = F.when(F.col("best").isNotNull(), F.col("best.id")).otherwise(F.col("id"))
     return unpacked(
         placed,
         n_shingles=F.col("n"),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlkit.llm import minhash
+from crawlkit.llm.common import written
 from crawlkit.llm.components import components
 
 
@@ -122,3 +123,21 @@ def test_long_text(docs_of):
     docs = docs_of([text, text + " end"])
     assert [r["component_id"] for r in minhash.near_duplicates(docs).collect()] == [0, 0]
     assert minhash.near_duplicates(docs).select(F.sum("n_shingles")).first()[0] == 99_996 + 99_997
+
+
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_rows_are_picked_by_number(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    ids = [*range(40), *range(32760, 32780), *range((1 << 33) - 9, (1 << 33) + 70_000, 997)]
+    rows = spark.createDataFrame([(i, str(i)) for i in ids], "rid long, t string")
+    for wanted in ([i for i in ids if i % 3 == 1], []):
+        picked = written(spark.createDataFrame([(i,) for i in wanted], "rid long"), "picked")
+        inside, outside = minhash._parted(rows, picked)
+        assert sorted(r.rid for r in inside.collect()) == sorted(wanted)
+        assert sorted((r.rid, r.t) for r in outside.collect()) == sorted((i, str(i)) for i in set(ids) - set(wanted))
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"w{i} only here {i * 7} and nowhere else") for i in range(50)], "doc_id long, text string")
+    plan = minhash.near_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and len(minhash.near_duplicates(docs).collect()) == 50
