@@ -16,6 +16,7 @@ if that is small too, that band rejects nothing. All documents count.
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache, reduce
 
 import numpy as np
@@ -24,6 +25,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from crawlkit.llm.common import packed, unpacked, written
 from crawlkit.llm.resident import occupy
@@ -36,6 +38,12 @@ WIDTHS = {"per_token": 6, "fallback": 10, "entropy": 6}
 FLOORS = {"per_token": 20, "fallback": 20, "entropy": 30}
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
+#: How a piece vocabulary writes a space.
+_BLANK = "\u2581"
+_SEGMENTS = re.compile(" +[^ ]*")
+#: Segments of a text that are remembered, and their longest length.
+REMEMBERED = 200_000
+_LONG = 64
 
 #: First code points of blocks, and the script from there on.
 SCRIPTS = [
@@ -67,18 +75,88 @@ def _piece_vocabulary(path: str) -> tuple[sentencepiece.SentencePieceProcessor,
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
+class PieceCounts:
+    """Pieces and byte pieces of a text, whose segments are remembered.
+
+    A segment is a run of spaces and what follows it up to the next one. No piece spans two
+    segments if it has spaces only at its start and the text is taken as it is, so each is
+    merged for itself; a vocabulary that is not so gets its texts whole.
+    """
+
+    def __init__(self, path: str):
+        self.model, self.is_byte = _piece_vocabulary(path)
+        pieces = [self.model.id_to_piece(i) for i in range(len(self.is_byte))]
+        self.starts = np.array([p.startswith(_BLANK) for p in pieces])
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        form, trained, kind = spec.normalizer_spec, spec.trainer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+        self.apart = (
+            trained.model_type == trained.BPE
+            and not (form.precompiled_charsmap or form.remove_extra_whitespaces or trained.treat_whitespace_as_suffix)
+            and form.add_dummy_prefix
+            and form.escape_whitespaces
+            and _BLANK in pieces
+            and {p.type for p in spec.pieces} <= {kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE}
+            and not any(_BLANK in p.lstrip(_BLANK) for p in pieces)
+        )
+        self.known: dict[str, int] = {}
+
+    def _whole(self, text: str) -> tuple[int, int]:
+        ids = np.array(self.model.encode(text), np.int64)
+        return len(ids), int(self.is_byte[ids].sum())
+
+    def of(self, text: str) -> tuple[int, int]:
+        if not (text and self.apart):
+            return self._whole(text)
+        text = text.replace(_BLANK, " ")
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            # Such segments are counted one by one; a space that ends the text is a piece.
+            parts = [s[1:] for s in _SEGMENTS.findall(f" {text}")]
+            plain = [s for s in parts if s and s[0] != " "]
+            rest = [self._whole(s) if s else (1, 0) for s in parts if not s or s[0] == " "]
+        else:
+            plain, rest = text.split(" "), []
+        known = self.known
+        new = [s for s in dict.fromkeys(plain) if s not in known]
+        if new:
+            self._learn(new)
+        total = sum(map(known.__getitem__, plain))
+        if len(known) > REMEMBERED or any(len(s) > _LONG for s in new):
+            self._forget(new)
+        return (total & 0xFFFFFFFF) + sum(n for n, _ in rest), (total >> 32) + sum(b for _, b in rest)
+
+    def _learn(self, new: list[str]) -> None:
+        """Count segments of one space each, all in one call; bytes stand above the lowest 32 bits."""
+        ids = np.array(self.model.encode(" ".join(new)), np.int64)
+        at = np.flatnonzero(self.starts[ids])
+        counts = np.diff(at, append=len(ids)) + (np.add.reduceat(self.is_byte[ids].astype(np.int64), at) << 32)
+        self.known.update(zip(new, counts.tolist(), strict=True))
+
+    def _forget(self, new: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for s in new:
+            if len(s) > _LONG:
+                self.known.pop(s, None)
+
+
+@cache
+def _piece_counts(path: str) -> PieceCounts:
+    return PieceCounts(path)
+
+
 def _release() -> None:
     _bytes_vocabulary.cache_clear()
     _piece_vocabulary.cache_clear()
+    _piece_counts.cache_clear()
 
 
 def word_rules(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     tokens = text.encode().split()
     n = len(tokens)
-    threes = list(zip(tokens, tokens[1:], tokens[2:], strict=False))
     repeated = 0
-    if len(set(threes)) < len(threes):
+    if len(set(zip(tokens, tokens[1:], tokens[2:], strict=False))) < n - 2:
+        threes = list(zip(tokens, tokens[1:], tokens[2:], strict=False))
         number = {w: i for i, w in enumerate(dict.fromkeys(threes))}
         ids = np.fromiter(map(number.__getitem__, threes), np.int64, len(threes))
         often = np.flatnonzero(np.bincount(ids)[ids] > 1)
@@ -119,17 +197,17 @@ def measure(docs: DataFrame, multi: str, pattern: str, pieces: str, text: str =
     def measured(texts: pa.Array) -> pa.Array:
         occupy("fertility", _release)
         first = _bytes_vocabulary(multi, pattern)
-        second, is_byte = _piece_vocabulary(pieces)
+        second = _piece_counts(pieces)
         rows = []
         for t in texts:
             s = t.as_py() or ""
-            ids = np.array(first.encode_ordinary(s), np.int64)
-            own = np.array(second.encode(s), np.int64)
-            counts = np.bincount(ids) if len(ids) else np.empty(0, np.int64)
-            share = counts[counts > 0] / max(len(ids), 1)
+            ids = np.sort(np.array(first.encode_ordinary(s), np.int32))
+            own, in_bytes = second.of(s)
+            bounds = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            share = np.diff(bounds, prepend=0, append=len(ids)) / max(len(ids), 1)
             rows.append((
                 *word_rules(s), len(ids), round(1000 * len(s) / max(len(ids), 1)),
-                round(1000 * float(is_byte[own].mean())) if len(own) else 0,
+                round(1000 * (in_bytes / own)) if own else 0,
                 round(-1000 * float((share * np.log2(share)).sum())) if len(ids) else 0, script_of(s),
             ))
         names = [f.split(":")[0] for f in MEASURES[7:-1].split(",")]

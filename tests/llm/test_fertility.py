@@ -6,6 +6,8 @@ import statistics
 from collections import Counter
 
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from crawlkit.llm import fertility, queries
 from crawlkit.llm.queries import FERTILITY
@@ -114,3 +116,27 @@ def test_empty_repeated_and_null_rows(spark):
     docs = spark.createDataFrame([(None, None, None), (1, "a", "en"), (1, "a", "en")], "doc_id long, text string, lang string")
     assert [r["kept"] for r in fertility.judge(fertility.measure(docs, *FERTILITY)).collect()] == [False] * 3
     assert fertility.judge(fertility.measure(docs.limit(0), *FERTILITY)).count() == 0
+
+
+COUNTS = fertility.PieceCounts(FERTILITY[2])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from("aeinrst  \n▁　\U0001f600"))))
+def test_pieces_by_segment(text):
+    ids = COUNTS.model.encode(text)
+    assert COUNTS.apart and COUNTS.of(text) == (len(ids), sum(map(COUNTS.model.is_byte, ids)))
+
+
+def test_known_segments_are_not_merged_again(monkeypatch):
+    counts = fertility.PieceCounts(FERTILITY[2])
+    monkeypatch.setattr(fertility, "REMEMBERED", 5)
+    text = "the old \x00 日本語 " + "x" * 100 + " the end"
+    first = counts.of(text)
+    assert first == counts._whole(text) and not counts.known  # six were new, and are forgotten
+    monkeypatch.setattr(fertility, "REMEMBERED", 50)
+    assert counts.of(text) == first and len(counts.known) == 5  # all but the long one
+    short = text.replace("x" * 100 + " ", "")
+    whole = counts._whole(short)
+    monkeypatch.setattr(counts, "_learn", None)
+    assert counts.of(short) == whole
