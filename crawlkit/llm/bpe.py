@@ -10,7 +10,9 @@ lowest rank. A node has FAN children, so most words are one node. A merge change
 leaves, each in logarithmic time, until the root says that no pair can merge; so a piece
 of a million characters costs n log n.
 
-Pieces repeat, so a worker remembers merged pieces in two generations of bounded size.
+No piece has white space in it, so text is first cut there into words, and a word is cut into
+pieces when it is new. Words and pieces repeat, so a worker remembers both, in two generations
+of bounded size.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ FAN = 16
 GENERATION = 400_000
 _LONG = 64
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space to Python's split, part of pieces to the vocabulary.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 #: Fixed value: how the vocabulary's file splits text.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
@@ -56,23 +60,33 @@ def lowered(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+def split(text: str) -> list[str]:
+    """Pieces of text in its composed lower-case form."""
+    return (ASCII_PIECES if text.isascii() else PIECES).findall(text)
+
+
 class _Remembered(dict):
-    """Ids of pieces as bytes. A miss asks the older generation, then the merges."""
+    """Ids of words and of their pieces as bytes. A miss asks the older generation, then the merges."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge, self.older = merge, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
         if ids is None:
-            ids = array("i", self.merge(piece)).tobytes()
-            if len(piece) > _LONG:
+            one = word.isascii() and word.isalpha()
+            pieces = [word] if one else split(word)
+            if len(pieces) == 1 and pieces[0] == word:
+                ids = array("i", self.merge(word)).tobytes()
+            else:
+                ids = b"".join(map(self.__getitem__, pieces))
+            if len(word) > _LONG:
                 return ids
         if len(self) >= GENERATION:
             self.older = dict(self)
             self.clear()
-        self[piece] = ids
+        self[word] = ids
         return ids
 
 
@@ -137,9 +151,9 @@ class Bpe:
         return tuple(x for x in ids if x >= 0)
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii():
-            return ASCII_PIECES.findall(text.lower())
-        return PIECES.findall(lowered(unicodedata.normalize("NFC", text)))
+        """Words of the composed lower-case text, or its pieces where words are cut at other characters."""
+        text = text.lower() if text.isascii() else lowered(unicodedata.normalize("NFC", text))
+        return split(text) if any(c in text for c in _NO_SPACE) else text.split()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -156,7 +170,7 @@ class Bpe:
     def decode(self, ids: np.ndarray) -> str:
         """Tokens as the vocabulary writes them, a space between; unknown ids are left out."""
         known = ids[(ids >= 0) & (ids < len(self.tokens))]
-        return " ".join(t for t in self.tokens[known] if t)
+        return " ".join(filter(None, self.tokens[known].tolist()))
 
 
 @cache

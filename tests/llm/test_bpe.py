@@ -80,3 +80,16 @@ def test_generations_are_bounded(monkeypatch):
     text = " ".join(f"w{i}x" for i in range(200))
     assert model.encode(text + " " + text).tolist() == expect(text + " " + text)[0]
     assert len(model.remembered) <= 10 and len(model.remembered.older) <= 10
+
+
+def test_known_words_are_not_cut_again(monkeypatch):
+    model = bpe.Bpe(PATH)
+    text = "It's (the) don't x\x1cy naïve-Word 12, it's"
+    ids = model.encode(text.replace("\x1c", "")).tolist()
+    assert model.encode(text).tolist() == expect(text)[0]
+
+    def cut(word):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(bpe, "split", cut)
+    assert model.encode(text.replace("\x1c", "")).tolist() == ids == expect(text.replace("\x1c", ""))[0]
