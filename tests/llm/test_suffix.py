@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crawlkit.llm import queries, suffix
@@ -89,3 +90,43 @@ def test_very_long_text(docs_of):
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
     got = result(docs_of([long, "x" + long[500_000:501_000] + "y", "z" * 300_000]))
     assert [g[1] for g in got] == [1000, 1000, 300_000]
+
+
+def test_cells_and_entries_come_in_bounded_blocks():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh") for _ in range(900))
+    place = np.unique(suffix.choices(suffix.Hashes(text.encode()).grams())).tolist()
+    found = [[{"pos": p, "reach": suffix.FAR} for p in place]] * 3000
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("reach", pa.int32())]))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([text] * 3000), pa.array(found, kind)], ["rid", "t", "r"])
+    blocks = list(suffix._cells(iter([rows])))
+    assert len(blocks) >= 3000 // 256 and sorted({i for b in blocks for i in b["rid"].to_pylist()}) == list(range(3000))
+    assert len({tuple(r.values()) for b in blocks for r in b.drop_columns("rid").to_pylist()}) == blocks[0].num_rows // 256
+
+    n = 3 * suffix.BLOCK
+    named = [{"run": 0, "pos": i, "len": 1, "sym": i % 5, "name": i % 7} for i in range(n)]
+    kind = pa.list_(pa.struct([("run", pa.int32()), ("pos", pa.int32()), ("len", pa.int32()), ("sym", pa.int64()), ("name", pa.int64())]))
+    rows = pa.RecordBatch.from_arrays([pa.array([9], pa.int64()), pa.array([named], kind)], ["rid", "named"])
+    seen = 0
+    for b in suffix._entries(iter([rows])):
+        assert b.num_rows <= suffix.BLOCK
+        seen += b.num_rows
+        for r in b.slice(0, 5).to_pylist():
+            i, which = r["pos"], r["list"]
+            assert r["sym"] == [k % 5 for k in range(i, min(n, i + suffix.DEPTH))] and i % 3 != (0, 2, 1)[which]
+            assert r["names"] == ([k % 7 for k in range(i, i + suffix.DEPTH, 3)] if which == 0 else [])
+            assert (r["k1"], r["k2"]) == (i % 5 if which else 0, (i + 1) % 5 if which == 2 else 0)
+    assert seen == 2 * n
+
+
+def test_runs_end_at_gaps_and_texts():
+    live = [[(t, 60 * t, 60, t) for t in (0, 1, 2, 3, 5, 6)], [(t, 60 * t, 60, -t) for t in range(7, 10)]]
+    names = ("t", "pos", "len", "sym")
+    kind = pa.list_(pa.struct([("t", pa.int32()), ("pos", pa.int32()), ("len", pa.int32()), ("sym", pa.int64())]))
+    rows = pa.RecordBatch.from_arrays([pa.array([4, 8], pa.int64()), pa.array([[dict(zip(names, x)) for x in r] for r in live], kind)], ["rid", "live"])
+    got = [tuple(r.values()) for b in suffix._runs(iter([rows])) for r in b.to_pylist()]
+    end = int(suffix.END)
+    assert got == [
+        (4, 0, 0, 0, 60, 0, 1, 2), (4, 0, 1, 60, 60, 1, 2, 3), (4, 0, 2, 120, 60, 2, 3, end), (4, 0, 3, 180, 60, 3, end, end),
+        (8, 7, 0, 420, 60, -7, -8, -9), (8, 7, 1, 480, 60, -8, -9, end), (8, 7, 2, 540, 60, -9, end, end),
+    ]
