@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from crawlkit.llm.common import packed, unpacked
 from crawlkit.llm.resident import occupy
+from crawlkit.session import prepare
 
 _NONE = 1 << 62
 #: Children of a node of the tree.
@@ -84,7 +85,8 @@ class _Remembered(dict):
             if len(word) > _LONG:
                 return ids
         if len(self) >= GENERATION:
-            self.older = dict(self)
+            self.older.clear()  # before the copy: never more than two generations
+            self.older.update(self)
             self.clear()
         self[word] = ids
         return ids
@@ -193,6 +195,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
 
+    prepare(docs.sparkSession)
     whole = packed(docs).withColumn("t", F.col(f"row.`{text}`"))
     return unpacked(whole, ids=F.arrow_udf(encoded, "array<int>")("t"))
 
@@ -204,5 +207,6 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         model, none = load(path), np.empty(0, np.int32)
         return pa.array([model.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else none) for x in lists], pa.string())
 
+    prepare(encoded.sparkSession)
     whole = packed(encoded).withColumn("t", F.col(f"row.`{ids}`"))
     return unpacked(whole, decoded=F.arrow_udf(decoded, "string")("t"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from crawlkit.llm.common import hex_digest, packed, unpacked, written
 from crawlkit.llm.words import ALNUM, hashed, windows, words
+from crawlkit.session import prepare
 
 WINDOW = 13
 RUN = 5
@@ -102,7 +103,7 @@ def contamination(
     are one item, a NULL item id counts in ``n_hit`` but is not listed. No documents or
     no items: no hits. Existing columns of the four names are replaced.
     """
-    spark = docs.sparkSession
+    spark = prepare(docs.sparkSession)
     bench = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("item_text"))
     bench = bench.withColumn("p", F.arrow_udf(_item_posts, "struct<n:bigint,posts:array<bigint>>")("item_text"))
     bench = written(bench.select("item", "item_text", F.monotonically_increasing_id().alias("key"), "p.*").where("n > 0"), "items")

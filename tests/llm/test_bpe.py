@@ -1,5 +1,6 @@
 """BPE against the tokenizers library and against naive merging."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -93,3 +94,12 @@ def test_known_words_are_not_cut_again(monkeypatch):
 
     monkeypatch.setattr(bpe, "split", cut)
     assert model.encode(text.replace("\x1c", "")).tolist() == ids == expect(text.replace("\x1c", ""))[0]
+
+
+def test_two_generations_are_remembered_at_most(monkeypatch):
+    monkeypatch.setattr(bpe, "GENERATION", 4)
+    remembered = bpe._Remembered(lambda word: (len(word),))
+    older = remembered.older
+    for n in [*range(1, 12), 3, 11]:
+        assert remembered["a" * n] == np.int32(n).tobytes()
+        assert len(remembered) <= 4 and len(older) <= 4 and remembered.older is older

@@ -2,11 +2,14 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import test_bpe, test_minhash, test_winnow
 
 import corpus_pipeline
-from crawlkit.llm import pii, queries
+from crawlkit import session
+from crawlkit.llm import bpe, fertility, minhash, pii, queries, suffix, winnow
 
 SF = "/root/testdata/sf0.01"
 
@@ -84,3 +87,29 @@ def test_empty_and_null_rows(spark):
     for some in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[1:]:
             assert stage(spark, some, SF).count() <= some.count()
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """10,000 long texts at once filled an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("many words "), 1000).alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"])
+
+    had = spark.conf.get(key, None)
+    operators = (
+        lambda d: fertility.measure(d, *queries.FERTILITY), minhash.near_duplicates, lambda d: suffix.remove_repeats(d),
+        lambda d: bpe.encode(d, queries.WORD_BPE), lambda d: winnow.contamination(d, spark.createDataFrame([("1", "a b")], "item_id string, text string")),
+    )
+    try:
+        for operator in operators:
+            spark.conf.unset(key)
+            operator(docs.limit(0))
+            assert docs.select("text").mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 8 << 20
+        spark.conf.set(key, "1048576")
+        session.prepare(spark)
+        assert spark.conf.get(key) == "1048576"
+    finally:
+        spark.conf.set(key, had) if had else spark.conf.unset(key)
