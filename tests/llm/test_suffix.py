@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from crawlkit.llm import queries, suffix
+from crawlkit.llm import common, queries, suffix
 
 
 def brute(texts):
@@ -85,6 +86,32 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_files_of_earlier_jobs_are_gone_before_the_texts_are_shuffled(spark, docs_of, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(40)]
+    docs = docs_of([rng.choice(pool)[:1500] + str(i) * 99 + rng.choice(pool) for i in range(300)]).repartition(2)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tables = iter(range(100))
+    monkeypatch.setattr(common, "scratch", lambda _, label: (tmp_path / f"{label}-{next(tables)}").as_uri())
+
+    def shuffled():
+        files = disk.getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    before = shuffled()
+    out = suffix.remove_repeats(docs)  # all jobs but the last
+    for _ in range(50):  # files are deleted a little later
+        left = sum(size for path, size in shuffled().items() if path not in before)
+        if left < 2000:
+            break
+        time.sleep(0.2)
+    assert left < 2000  # one sum that is read at once
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["marks", "symbols"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true"  # as it was
+    assert out.where("n_bytes > octet_length(kept)").count() == 300
+
+
 def test_very_long_text(docs_of):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
